@@ -39,11 +39,10 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def row_key(*columns: str) -> list:
-    """Columns that tell rows of `documents` apart even where a doc_id is repeated or null."""
-    return [F.col("doc_id"), F.xxhash64(*columns).alias("row_hash")]
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """`df` with the long column `key` written so that a join on it exchanges both sides.
 
-
-def whole_text(df: DataFrame, column: str = "text"):
-    """The text, null taken as empty."""
-    return F.coalesce(df[column], F.lit(""))
+    A side that an aggregation left dealt out by the key would be joined where it lies, and
+    adaptive execution only splits a frequent key between two exchanges.
+    """
+    return df.withColumn(key, F.col(key).bitwiseOR(F.lit(0).cast("long")))
