@@ -22,6 +22,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.near_dedup import near_duplicates
 
@@ -35,11 +41,66 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import quality as q
+    from braidlog.llm.sampling import fold, labelled
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 5) != 0, per_class=600, max_chars=8000)
+    out = q.quality(docs, q.train(sample), threshold=0.3)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.language_id import Model, identify, sample_of
+    from braidlog.llm.sampling import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = Model(sample_of(docs, fold(F.col("doc_id"), 3) != 1))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _vocabulary(name: str) -> bytes:
+    """A public tokenizer's file, read by the driver; operators send its content to the executors."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json").decode(), end=2, size=1024)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm import toxicity as t
+    from braidlog.llm.sampling import fold, labelled
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, per_class=1500, max_chars=20000)
+    out = t.toxicity(docs, t.train(sample), threshold=0.5)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_top_k": op3_top_k,
     "op4_near_dedup": op4_near_dedup,
+    "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
+    "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
@@ -58,6 +119,17 @@ ORACLES = {
         FROM keyed k LEFT JOIN common c ON k.key = c.key
         GROUP BY doc_id
     """,
+    "op3_top_k": r"""
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM good q JOIN good c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 20
+    """,
     "op4_near_dedup": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
