@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidlog.llm.sampling import fold
 from braidlog.llm.tables import table
 
 
+def held_out(folds: int, fold_no: int) -> Column:
+    """Whether a row is outside what may be learned from; false without a doc_id."""
+    return F.coalesce(fold(F.col("doc_id"), folds) == fold_no, F.lit(False)).alias("held_out")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.line_dedup import drop_common_lines
 
@@ -43,24 +49,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import quality as q
-    from braidlog.llm.sampling import fold, labelled
+    from braidlog.llm.sampling import labelled
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = labelled(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 5) != 0, per_class=600, max_chars=8000)
     out = q.quality(docs, q.train(sample), threshold=0.3)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.language_id import Model, identify, sample_of
-    from braidlog.llm.sampling import fold
 
     docs = table(spark, sf_dir, "documents")
     model = Model(sample_of(docs, fold(F.col("doc_id"), 3) != 1))
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out(3, 1), "lang_pred", "score")
 
 
-def _vocabulary(name: str) -> bytes:
+def vocabulary(name: str) -> bytes:
     """A public tokenizer's file, read by the driver; operators send its content to the executors."""
     import public_tokenizers
 
@@ -71,23 +76,23 @@ def _vocabulary(name: str) -> bytes:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json").decode(), end=2, size=1024)
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json").decode(), end=2, size=1024)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm import toxicity as t
-    from braidlog.llm.sampling import fold, labelled
+    from braidlog.llm.sampling import labelled
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sample = labelled(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, per_class=1500, max_chars=20000)
     out = t.toxicity(docs, t.train(sample), threshold=0.5)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 QUERIES = {

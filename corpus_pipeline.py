@@ -1,16 +1,76 @@
-"""A corpus pipeline of the operators in braidlog.llm: each stage takes what the one before it kept."""
+"""A corpus pipeline of the operators in braidlog.llm: each stage takes what the one before it kept.
+
+toxicity      documents that the classifier, trained on `labels`, rejects go
+line_dedup    lines that 10 or more documents share go; a document left without any line stays, empty
+near_dedup    of each group of near duplicates (five-word shingles, similarity 0.8) the least doc_id stays
+decontaminate documents that hold 10 consecutive words of a `benchmark` item go
+pack          what is left becomes pieces in sequences of 1024 tokens
+
+All stages but the last return the columns of `documents`, whatever further ones it has, with
+n_chars kept true to the text. Null texts are empty from line_dedup on. Rows without a doc_id
+pass every filter that their text passes; near_dedup keeps them, as it cannot name them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from braidlog.llm import toxicity
+from braidlog.llm.decontaminate import contamination
+from braidlog.llm.line_dedup import drop_common_lines
+from braidlog.llm.near_dedup import near_duplicates
+from braidlog.llm.packing import pack
+from braidlog.llm.queries import vocabulary
+from braidlog.llm.sampling import labelled
+from braidlog.llm.tables import settled, table
+
+#: Cannot be SQL: classifier, tokenizer and packing. Tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+def _nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sample = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", F.lit(True), per_class=1500, max_chars=20000)
+    return toxicity.toxicity(docs, toxicity.train(sample)).where("predicted = 0").select(docs.columns)
+
+
+def _without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = drop_common_lines(docs, min_chars=1, min_docs=10)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+def _first_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(docs, shingle=5, percent=80)
+    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def _uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("row_hash").alias("hit_hash")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti").select(docs.columns)
+
+
+def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, vocabulary("byte_bpe_50k.json").decode(), end=2, size=1024)
+
+
+STAGES = [
+    ("toxicity", _nontoxic),
+    ("line_dedup", _without_common_lines),
+    ("near_dedup", _first_of_each_group),
+    ("decontaminate", _uncontaminated),
+    ("pack", _packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, over the table `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages in order, over the table `documents`; each one's result is settled before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = settled(docs)
     return docs
