@@ -118,11 +118,13 @@ def _checked_shingles(shingle: int):
 def _candidates(sketch: DataFrame) -> DataFrame:
     """Edges (a, b, shared): pairs of sets, and in how many buckets and orders they met."""
     members = sketch.select("node", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
+    # most buckets hold one set: from here on only the others move
+    members = settled(members.join(dealt_anew(shared, "bucket"), "bucket", "left_semi"))
     order = lambda i: F.col("bucket") if not i else F.shiftrightunsigned("bucket", 13 * i)
     hubs = (
         members.groupBy("bucket")
-        .agg(F.min("node").alias("least"), F.max("node").alias("most"), *(F.min(F.col("node").bitwiseXOR(order(i))).alias(f"hub{i}") for i in range(HUBS)))
-        .where("least < most")
+        .agg(*(F.min(F.col("node").bitwiseXOR(order(i))).alias(f"hub{i}") for i in range(HUBS)))
         .select("bucket", F.array_distinct(F.array(*(F.col(f"hub{i}").bitwiseXOR(order(i)) for i in range(HUBS)))).alias("hubs"))
     )
     return (
