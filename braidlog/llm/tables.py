@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from braidlog.session import settled, ship
+
+__all__ = ["dealt_anew", "settled", "table"]
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,28 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it.
-
-    On a cluster whose machines do not share this folder, submit with --py-files instead.
-    """
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the cluster's shared checkpoint folder.
-
-    Lost executors cost nothing that was settled. Only where spark.checkpoint.dir is unset
-    (tests, a single machine) a folder of this machine is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braidlog-"))
-    return df.checkpoint(eager=True)
-
-
 def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """`df` with the long column `key` written so that a join on it exchanges both sides.
 
