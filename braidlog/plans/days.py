@@ -80,7 +80,7 @@ def merge(
         try:
             found: list[tuple[str, str, bool, int]] = []
             if check:
-                trial = f"{output}/.{day_file_name(date)}.trial.zst"
+                trial = f"{target}.trial.zst"  # kept if it differs; its suffix is what readers go by
                 published(spark, staged, date, trial)
                 back = scan(spark, [trial]).select(F.lit(date).alias("date"), "line_no", "line")
                 found = _rechecked(spark, own, lines, back)

@@ -36,7 +36,7 @@ def accumulate(spark: SparkSession, folder: str, state: str, checkpoint: str, *,
     The stream's checkpoint remembers which files were taken. Files of one batch are folded in
     byte order of their names.
     """
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
     if files_at_once:
         stream = stream.option("maxFilesPerTrigger", files_at_once)
     names = stream.load(escaped(folder)).select("path")
