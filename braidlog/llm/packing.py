@@ -139,7 +139,9 @@ def _repack(size: int, round_no: int, last: bool):
             _, bins = np.unique(before, return_inverse=True)
             levels = np.bincount(bins, weights=lengths).astype(np.int64)
             n = len(levels)
-        again = np.zeros(len(lengths), dtype=bool) if last or n == bound else (levels < size)[bins]
+        # a proved pool still gives its emptiest sequence away: pools' last ones may share
+        open_bins = (levels < size) if n > bound else (levels < size) & (np.arange(n) == levels.argmin())
+        again = np.zeros(len(lengths), dtype=bool) if last else open_bins[bins]
         for name, values in (("sequence_id", sequence), ("offset", offsets), ("open", again)):
             table = table.set_column(table.schema.get_field_index(name), name, pa.array(values))
         return table
