@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode White_Space, and ASCII white space without the vertical tab.
@@ -42,27 +42,30 @@ def decoded(line: Column) -> Column:
     return F.make_valid_utf8(line.cast("string"))
 
 
-def parsed(line: Column) -> Column:
-    """struct(timestamp, thread, category, content) of a line.
+def with_parsed(df: DataFrame, line: str, fields: tuple[str, ...] = ("timestamp", "thread", "category", "content")) -> DataFrame:
+    """Adds timestamp, thread, category and content of the text column `line`, or those of them in `fields`.
 
     A line that looks stamped has its timestamp up to the first ASCII white space, then up to
     two bracket groups: two are thread and category, a single one is the category. Any other
     line is content as a whole. An empty group is the category '', which is not null.
+
+    The steps are columns of their own, each used more than once, so that each runs once a row.
     """
-    body = without_line_end(line)
-    stamp = F.regexp_extract(body, rf"\A[^{ASCII_WHITE}]*", 0)
-    rest = F.regexp_replace(F.substring(body, F.length(stamp) + 1, F.length(body)), rf"\A{WHITE}+", "")
-    after = F.regexp_replace(rest, _BRACKETS + WHITE + "*", "")
-    last = F.regexp_replace(after, _BRACKETS + WHITE + "*", "")
-    one, two = rest.rlike(_BRACKETS), rest.rlike(_BRACKETS) & after.rlike(_BRACKETS)
-    stamped = looks_stamped(body)
-    first, second = F.regexp_extract(rest, _BRACKETS, 1), F.regexp_extract(after, _BRACKETS, 1)
-    return F.struct(
-        F.when(stamped, stamp).alias("timestamp"),
-        F.when(stamped & two, first).alias("thread"),
-        F.when(stamped & two, second).when(stamped & one, first).alias("category"),
-        F.when(stamped & two, last).when(stamped & one, after).when(stamped, rest).otherwise(body).alias("content"),
-    )
+    out = df.withColumn("body_", without_line_end(F.col(line)))
+    out = out.withColumn("stamp_", F.when(looks_stamped(F.col("body_")), F.regexp_extract("body_", rf"\A[^{ASCII_WHITE}]*", 0)))
+    # null where the line is not stamped, and so is all that follows from it
+    out = out.withColumn("rest_", F.regexp_replace(F.substring("body_", F.length("stamp_") + 1, F.length("body_")), rf"\A{WHITE}+", ""))
+    out = out.withColumn("after_", F.when(F.col("rest_").rlike(_BRACKETS), F.regexp_replace("rest_", _BRACKETS + WHITE + "*", "")))
+    out = out.withColumn("last_", F.when(F.col("after_").rlike(_BRACKETS), F.regexp_replace("after_", _BRACKETS + WHITE + "*", "")))
+    one, two = F.col("after_").isNotNull(), F.col("last_").isNotNull()
+    first, second = F.regexp_extract("rest_", _BRACKETS, 1), F.regexp_extract("after_", _BRACKETS, 1)
+    found = {
+        "timestamp": F.col("stamp_"),
+        "thread": F.when(two, first),
+        "category": F.when(two, second).when(one, first),
+        "content": F.coalesce("last_", "after_", "rest_", "body_"),
+    }
+    return out.withColumns({k: v for k, v in found.items() if k in fields}).drop("body_", "stamp_", "rest_", "after_", "last_")
 
 
 def first_space(line: Column) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidlog.functions.lines import parsed
+from braidlog.functions.lines import with_parsed
 from braidlog.functions.tokens import RECOGNIZERS, STAR, with_slots, with_tokens
 from braidlog.session import settled, ship
 from braidlog.sources.catalogue import Catalogue
@@ -29,10 +29,10 @@ LOADED = -1
 END = (1 << 63) - 1
 
 
-def slotted(lines: DataFrame, line: Column, recognizers=RECOGNIZERS) -> DataFrame:
+def slotted(lines: DataFrame, line: str, recognizers=RECOGNIZERS) -> DataFrame:
     """`lines` with timestamp, category and slots of the text column `line`."""
-    out = lines.withColumn("parsed_", parsed(line)).withColumns({"timestamp": F.col("parsed_.timestamp"), "category": F.col("parsed_.category"), "content_": F.col("parsed_.content")})
-    return with_slots(with_tokens(out, "content_", "tokens_", recognizers), "tokens_").drop("parsed_", "content_", "tokens_")
+    out = with_parsed(lines, line, ("timestamp", "category", "content"))
+    return with_slots(with_tokens(out, "content", "tokens_", recognizers), "tokens_").drop("content", "tokens_")
 
 
 def leaf_of(slots: Column, depth: int) -> Column:

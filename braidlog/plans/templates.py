@@ -47,7 +47,7 @@ def empty(spark: SparkSession, depth: int = 4, threshold: float = 0.5) -> Catalo
 
 def ingest(catalogue: Catalogue, lines: DataFrame) -> Catalogue:
     """`catalogue` after raw lines (file, line_no, line)."""
-    return folded(catalogue, slotted(sequenced(unprefixed(texts(lines))), F.col("text")).select("category", "seq", "timestamp", "slots"))
+    return folded(catalogue, slotted(sequenced(unprefixed(texts(lines))), "text").select("category", "seq", "timestamp", "slots"))
 
 
 def templates(
@@ -71,7 +71,7 @@ def templates(
     catalogue = load(spark, load_state) if load_state else empty(spark, depth, threshold)
     if path is not None:
         if categories and not save_state:
-            lines = slotted(sequenced(unprefixed(texts(scan_any(spark, [path])))), F.col("text")).where(F.col("category").isin(list(categories)))
+            lines = slotted(sequenced(unprefixed(texts(scan_any(spark, [path])))), "text").where(F.col("category").isin(list(categories)))
             catalogue = folded(catalogue, lines.select("category", "seq", "timestamp", "slots"))
         else:
             catalogue = ingest(catalogue, scan_any(spark, [path]))
@@ -101,7 +101,7 @@ def by_node(lines: DataFrame) -> DataFrame:
 
 def node_templates(nodes: DataFrame, depth: int = 4, threshold: float = 0.5) -> DataFrame:
     """Clusters of (node, seq, text), each node on its own."""
-    return cluster(slotted(nodes, F.col("text")).select("node", "category", "seq", "timestamp", "slots"), depth, threshold)
+    return cluster(slotted(nodes, "text").select("node", "category", "seq", "timestamp", "slots"), depth, threshold)
 
 
 def per_node(

@@ -73,7 +73,7 @@ def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slotted(mixed(spark, sf_dir), F.col("line")).select(F.lit(None).cast("string").alias("node"), "category", "seq", "timestamp", "slots")
+    return slotted(mixed(spark, sf_dir), "line").select(F.lit(None).cast("string").alias("node"), "category", "seq", "timestamp", "slots")
 
 
 # ---------------------------------------------------------------- SQL parts
@@ -209,7 +209,7 @@ def _line_queries() -> dict:
     odd_spark = lambda s, d: _bound(s, d, odd.format(MIXED["spark"]), "orders")
 
     def parse(s, d):
-        return mixed(s, d).select("seq", L.parsed(F.col("line")).alias("p")).select("seq", "p.timestamp", "p.thread", "p.category", "p.content")
+        return L.with_parsed(mixed(s, d), "line").drop("line")
 
     def prefix(s, d):
         return odd_spark(s, d).select("seq", L.node_of(F.col("line")).alias("node"), L.after_node(F.col("line")).alias("rest"))
@@ -239,7 +239,7 @@ def _line_queries() -> dict:
 
 def _token_queries() -> dict:
     def content(s, d):
-        return mixed(s, d).select("seq", L.parsed(F.col("line"))["content"].alias("content"))
+        return L.with_parsed(mixed(s, d), "line", ("content",)).drop("line")
 
     def tokens(s, d):
         return with_tokens(content(s, d)).select("seq", F.explode_outer("tokens").alias("t")).where("t is not null").select("seq", "t.kind", F.col("t.text").alias("text"))
@@ -300,7 +300,7 @@ def _catalogue_queries() -> dict:
         return lambda s, d: _shown(selected(whole(s, d).drop("node"), **options))
 
     def by_node(s, d):
-        rows = slotted(_bound(s, d, EVENTS["spark"], "events"), F.col("line")).select(F.coalesce("node", F.lit(UNKNOWN)).alias("node"), "category", F.col("event_id").alias("seq"), "timestamp", "slots")
+        rows = slotted(_bound(s, d, EVENTS["spark"], "events"), "line").select(F.coalesce("node", F.lit(UNKNOWN)).alias("node"), "category", F.col("event_id").alias("seq"), "timestamp", "slots")
         out = cluster(rows, threshold=1.0)
         return out.select("node", "category", F.col("id").cast("long").alias("id"), F.col("count").cast("long").alias("count"), "first_seen", "last_seen", F.size("template").alias("n_slots"))
 
@@ -322,7 +322,7 @@ def _catalogue_queries() -> dict:
         "catalogue_incremental": (two_batches, f"WITH {TOKENS} SELECT {show} FROM catalogue"),
         "catalogue_default": (lambda s, d: _shown(cluster(_slots(s, d))), None),
         "catalogue_prose": (
-            lambda s, d: _shown(cluster(slotted(_bound(s, d, "SELECT doc_id * 100000 AS base, text FROM documents", "documents").select("base", F.posexplode(F.split("text", "\n")).alias("i", "line")), F.col("line")).select(F.lit(None).cast("string").alias("node"), "category", (F.col("base") + F.col("i")).alias("seq"), "timestamp", "slots"))),
+            lambda s, d: _shown(cluster(slotted(_bound(s, d, "SELECT doc_id * 100000 AS base, text FROM documents", "documents").select("base", F.posexplode(F.split("text", "\n")).alias("i", "line")), "line").select(F.lit(None).cast("string").alias("node"), "category", (F.col("base") + F.col("i")).alias("seq"), "timestamp", "slots"))),
             None,
         ),
         "report_min_count": (report(min_count=3), f'WITH {ranked} SELECT {show} FROM ranked WHERE "count" >= 3'),

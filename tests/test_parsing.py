@@ -66,8 +66,8 @@ CASES = {
 
 
 def test_line_shapes(spark):
-    df = spark.createDataFrame([(c,) for c in CASES], "line string").select("line", L.parsed(F.col("line")).alias("p"))
-    assert {r["line"]: tuple(r["p"]) for r in df.collect()} == CASES
+    df = L.with_parsed(spark.createDataFrame([(c,) for c in CASES], "line string"), "line")
+    assert {r[0]: tuple(r)[1:] for r in df.collect()} == CASES
 
 
 def test_timestamp_keys_equal_the_model(spark):
