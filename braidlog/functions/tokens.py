@@ -72,10 +72,8 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
 )
 
 
-def _pieces(word: Column) -> Column:
-    """The atoms of a word of more than nothing, without white space."""
-    peeled = (F.length(word) > 1) & word.rlike("[:,]\\z")
-    body = F.when(peeled, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+def _pieces(body: Column) -> Column:
+    """The atoms of a word whose last colon or comma is off."""
     whole = body.startswith("peer=") | body.startswith("height=") | ~body.rlike(_DELIMITERS)
     cut = F.flatten(
         F.transform(
@@ -83,19 +81,21 @@ def _pieces(word: Column) -> Column:
             lambda m: F.when(m.startswith("[") & (F.length(m) > 1), F.array(m)).otherwise(F.regexp_extract_all(m, F.lit(rf"[^=()\[\]'/]+|{_DELIMITERS}"), F.lit(0))),
         )
     )
-    atoms = F.when(whole, F.array(body)).otherwise(cut)
-    return F.when(peeled, F.concat(atoms, F.array(F.substring(word, -1, 1)))).otherwise(atoms)
+    return F.when(whole, F.array(body)).otherwise(cut)
 
 
 def atoms_of(content: Column) -> Column:
     """array<string>: content cut at ASCII white space, then at punctuation."""
     words = F.filter(F.split(content, f"[{ASCII_WHITE}]+", -1), lambda w: F.length(w) > 0)
-    return F.flatten(F.transform(words, _pieces))
+    # one lambda for each step, so that no step is written out, and run, more than once
+    tails = F.transform(words, lambda w: F.struct(w.alias("word"), F.when(F.length(w) > 1, F.when(w.endswith(":"), ":").when(w.endswith(","), ",")).alias("tail")))
+    bodies = F.transform(tails, lambda x: F.struct(F.when(x["tail"].isNull(), x["word"]).otherwise(F.substring(x["word"], F.lit(1), F.length(x["word"]) - 1)).alias("body"), x["tail"].alias("tail")))
+    return F.flatten(F.transform(bodies, lambda x: F.when(x["tail"].isNull(), _pieces(x["body"])).otherwise(F.concat(_pieces(x["body"]), F.array(x["tail"])))))
 
 
 def kind_of(atom: Column, following: Column, recognizers: Sequence[Recognizer] = RECOGNIZERS) -> Column:
     """Label of an atom, null for plain text. `following` is the atom after it, or ''."""
-    maybe = atom.rlike(r"[0-9:]") | atom.rlike(r"\.onion|\.i2p") | (F.length(atom) >= 8)  # most words end here
+    maybe = (F.length(atom) >= 8) | atom.rlike("[0-9:]")  # most words end here
     chain = None
     for label, test in recognizers:
         chain = F.when(test(atom), label) if chain is None else chain.when(test(atom), label)

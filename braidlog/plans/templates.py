@@ -19,8 +19,13 @@ UNKNOWN = "_unknown"
 
 
 def texts(lines: DataFrame) -> DataFrame:
-    """(file, line_no, line) with text: decoded, without a line end."""
-    return lines.withColumn("text", without_line_end(decoded(F.col("line"))))
+    """(file, line_no, line) with text: decoded, without a line end.
+
+    Numbering left each file's lines in one task; what follows is most of the work and is dealt
+    out over all cores.
+    """
+    spread = lines.repartition(lines.sparkSession.sparkContext.defaultParallelism, "file", "line_no")
+    return spread.withColumn("text", without_line_end(decoded(F.col("line"))))
 
 
 def unprefixed(lines: DataFrame) -> DataFrame:
