@@ -56,16 +56,17 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, penalty: float = 1e-
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
         return np.zeros(size, dtype=np.float32), float(np.log(rate / (1 - rate)))
     rows = [distinct(features(t.encode())) for t, _ in sample]
-    counts = np.array([len(r) for r in rows])
-    begins, index = np.concatenate(([0], np.cumsum(counts)[:-1])), np.concatenate(rows)
-    each = np.repeat(labels, counts)
-    up, down = np.bincount(index, weights=each, minlength=size) + 1, np.bincount(index, weights=1 - each, minlength=size) + 1
+    up, down = np.ones(size), np.ones(size)
+    for found, label in zip(rows, labels, strict=True):
+        (up if label else down)[found] += 1
     ratio = np.log(up / labels.sum()) - np.log(down / (len(labels) - labels.sum()))
-    ratio[np.abs(ratio) < certain * np.sqrt(1 / up + 1 / down)] = 0  # within its own sampling error: tells nothing
-    used, place = np.unique(index, return_inverse=True)
+    # within its own sampling error a ratio tells nothing
+    used = np.flatnonzero(np.abs(ratio) >= certain * np.sqrt(1 / up + 1 / down))
+    to = np.full(size, -1, dtype=np.int32)
+    to[used] = np.arange(len(used))
+    rows = [(p := to[found])[p >= 0] for found in rows]
+    counts, place = np.array([len(p) for p in rows]), np.concatenate(rows)
     r, w, bias = ratio[used], np.zeros(len(used)), 0.0
-    keep = r[place] != 0
-    place, counts = place[keep], np.add.reduceat(keep, begins) if len(keep) else counts
     owner = np.repeat(np.arange(len(labels)), counts)
     scaled = r[place]
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
