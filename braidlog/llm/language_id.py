@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidlog.llm.sampling import drawn
 from braidlog.llm.words import U64, constants, hashes, joined, mix, over_slices, spans
 
 SIZES = (5, 4, 3, 2, 1)
@@ -121,9 +122,10 @@ def has_letter(text: bytes | None, ascii_letters: bool) -> bool:
 def sample_of(docs: DataFrame, trains: Column, per_language: int = 400, max_chars: int = 8000) -> list[tuple[str, str]]:
     """At most `per_language` texts of each language, of at most `max_chars` characters, by the hash of their id."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(trains)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.where(F.length("text") <= max_chars).select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "doc_id")
-    rows = known.where(F.length("text") <= max_chars).select("text", "lang", "doc_id").join(F.broadcast(drawn), ["lang", "doc_id"]).collect()
+    ids = drawn(known.where(F.length("text") <= max_chars), "lang", per_language, ["lang", "doc_id"])
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "doc_id")
+    rows = known.where(F.length("text") <= max_chars).select("text", "lang", "doc_id").join(F.broadcast(ids), ["lang", "doc_id"]).collect()
     return sorted((r["text"], r["lang"]) for r in rows)
 
 

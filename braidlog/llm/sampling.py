@@ -11,6 +11,21 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+DRAW = 1 << 30
+
+
+def drawn(rows: DataFrame, group: str, per_group: int, columns: list[str]) -> DataFrame:
+    """About the first 4 * per_group rows of each group by the hash of doc_id, or all; `draw` is that hash.
+
+    The share is taken from counts, so that what follows is bounded however large the table is
+    and over however many tasks.
+    """
+    counts = rows.groupBy(F.col(group).alias("group_")).agg(F.count("*").alias("n_"))
+    # one row for each label or language
+    known = rows.join(F.broadcast(counts), F.col(group) == F.col("group_")).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(DRAW)))
+    return known.where(F.col("draw") * F.col("n_") < F.lit(4 * per_group).cast("double") * DRAW).select(*columns, "draw")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, trains: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
     """At most `per_class` texts of each label 0 and 1, of at most `max_chars` characters, by the hash of their id.
 
@@ -18,11 +33,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, trains: Column, per
     they are of the fit alone, never of what is scored.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(trains).select("doc_id", F.col(label).alias("label")).distinct()
-    # ids are drawn with some to spare before any text moves
-    drawn = known.where("label = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).unionAll(known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class))
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    ids = drawn(known, "label", per_class, ["doc_id", "label"])  # ids are drawn before any text moves
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     out = []
     for kind in (0, 1):
-        rows = texts.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).collect()
+        rows = texts.where(F.col("label") == kind).orderBy("draw", "doc_id", "text").limit(per_class).collect()
         out += [(r["text"], kind) for r in rows]
     return out
