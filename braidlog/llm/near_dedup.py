@@ -24,7 +24,7 @@ from braidlog.llm.components import components
 from braidlog.llm.tables import dealt_anew, settled
 from braidlog.llm.words import NOT_BLANK, U64, Texts, constants, grams, lists, mix, over_slices
 
-BANDS, ROWS, HUBS = 64, 8, 4
+BANDS, ROWS, HUBS = 64, 6, 4
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     second = _linked(open_edges, sets, percent)
     roots = components(first.unionAll(second))
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_node = nodes.join(roots.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
+    of_node = nodes.join(roots.join(dealt_anew(least, "root"), "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
     return (
         sketch.select("doc_id", "n_shingles", "node")
         .join(dealt_anew(of_node, "node"), "node", "left")
