@@ -4,13 +4,14 @@ star-shaped candidate edges, and an exact check on whole shingle sets.
 One hash of every shingle fills BANDS * ROWS bins with the least value that falls in each; an
 empty bin takes the value of the first filled bin along its own fixed pseudo-random walk
 (optimal densification), so two sets agree in a bin with the probability of their similarity.
-ROWS bins make a band, and equal bands a bucket. In a bucket HUBS members, the first by as many
-orders peculiar to the bucket, are joined with every member: pairs grow linearly with the
-bucket, small buckets are covered whole, and other bands give other hubs.
-
-Candidates are confirmed in two rounds: first the best edge of every set, then, of the other
-edges, those that would still join two components. An edge within one component cannot change
-any result, so it is left out; every other one is checked on full sets.
+ROWS bins make a band, and equal bands a bucket. Every two sets of a bucket are candidates, in
+two passes. In the first, at most HUBS members of each bucket, the first by as many orders
+peculiar to the bucket, are joined with every member. In the second, the pairs of a bucket that
+this left out are taken whole, but for those that links already have in one component.
+
+Each pass confirms its candidates in two rounds: first the best edge of every set, then, of the
+other edges, those that would still join two components. An edge within one component cannot
+change any result, so it is left out; every other one is checked on full sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from braidlog.llm.tables import dealt_anew, settled
 from braidlog.llm.words import NOT_BLANK, U64, Texts, constants, grams, lists, mix, over_slices
 
 BANDS, ROWS, HUBS = 64, 6, 4
+#: Members of a bucket that are compared with others in one key of a join.
+BLOCK = 256
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -115,25 +118,55 @@ def _checked_shingles(shingle: int):
     return over_slices(kernel)
 
 
-def _candidates(sketch: DataFrame) -> DataFrame:
-    """Edges (a, b, shared): pairs of sets, and in how many buckets and orders they met."""
+def _members(sketch: DataFrame) -> DataFrame:
+    """(node, bucket) of the buckets of two sets or more."""
     members = sketch.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
     # most buckets hold one set: from here on only the others move
-    members = settled(members.join(dealt_anew(shared, "bucket"), "bucket", "left_semi"))
-    order = lambda i: F.col("bucket") if not i else F.shiftrightunsigned("bucket", 13 * i)
-    hubs = (
-        members.groupBy("bucket")
-        .agg(*(F.min(F.col("node").bitwiseXOR(order(i))).alias(f"hub{i}") for i in range(HUBS)))
-        .select("bucket", F.array_distinct(F.array(*(F.col(f"hub{i}").bitwiseXOR(order(i)) for i in range(HUBS)))).alias("hubs"))
+    return settled(members.join(dealt_anew(shared, "bucket"), "bucket", "left_semi"))
+
+
+def _hubs(members: DataFrame) -> DataFrame:
+    """(bucket, hubs, n): the first node of each bucket by each of HUBS orders, and its rows."""
+    first = (F.min_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias(f"hub{i}") for i in range(HUBS))
+    return members.groupBy("bucket").agg(*first, F.count("*").alias("n")).select("bucket", F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hubs"), "n")
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b, shared): the pairs of sets (node, hub), and how often each met."""
+    return pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def _candidates(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The edges of every member of a bucket with its hubs."""
+    return _met(members.join(dealt_anew(hubs, "bucket"), "bucket").select("node", F.explode("hubs").alias("hub")).where("node <> hub"))
+
+
+def _left_out(members: DataFrame, hubs: DataFrame, roots: DataFrame, sizes: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """The edges of all pairs that share a bucket, are not in one component and not in `edges`.
+
+    Every set outside the bucket's most frequent component meets all of the bucket, a block of
+    about BLOCK members at a time. Sets too unequal in size to be linked are no pair.
+    """
+    open_ = hubs.where(F.col("n") > F.size("hubs") + 1).select("bucket")
+    rooted = settled(
+        members.join(dealt_anew(open_, "bucket"), "bucket", "left_semi")
+        .distinct()
+        .join(dealt_anew(roots, "node"), "node", "left")
+        .select("bucket", "node", F.coalesce("root", "node").alias("root"))
     )
-    return (
-        members.join(dealt_anew(hubs, "bucket"), "bucket")
-        .select("node", F.explode("hubs").alias("hub"))
-        .where("node <> hub")
-        .groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .agg(F.count("*").alias("shared"))
+    groups = rooted.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
+    main = groups.groupBy("bucket").agg(F.max_by("root", F.struct("of_root", "root")).alias("main"), F.sum("of_root").alias("n"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    placed = settled(
+        rooted.join(dealt_anew(main, "bucket"), "bucket")
+        .join(dealt_anew(sizes, "node"), "node")
+        .select("bucket", "node", "root", "n_shingles", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
+    asking = placed.where("minor").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "n_shingles")
+    asked = placed.select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n_shingles").alias("hub_shingles"), "minor")
+    small, large = F.least("n_shingles", "hub_shingles"), F.greatest("n_shingles", "hub_shingles")
+    pairs = asking.join(asked, ["bucket", "block"]).where("root <> hub_root and (not minor or node < hub)").where(100 * small >= percent * large)
+    return _met(pairs).join(edges, ["a", "b"], "left_anti")
 
 
 def _linked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,6 +177,23 @@ def _linked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * small.cast("long") >= percent * large).where(100 * common >= percent * (small + large - common)).select("a", "b")
 
 
+def _confirmed(edges: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """`links` and those of `edges` that are similar enough, but for some within one component."""
+    both = lambda x: x if links is None else links.unionAll(x)
+    best = edges.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "shared").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    first = both(settled(_linked(best, sets, percent)))
+    roots = components(first)
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    open_edges = (
+        edges.join(best, ["a", "b"], "left_anti")
+        .join(root_of("a"), "a", "left")
+        .join(root_of("b"), "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        .select("a", "b")
+    )
+    return first.unionAll(settled(_linked(open_edges, sets, percent)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of `docs` (doc_id, text): n_shingles, component_id, kept.
 
@@ -159,8 +209,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """
     docs = docs.select("doc_id", "text")
     sketch = settled(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>"))
-    nodes = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    edges = settled(_candidates(sketch))
+    nodes = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
+    members = _members(sketch)
+    hubs = settled(_hubs(members))
+    edges = settled(_candidates(members, hubs))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = ends.join(nodes, "node").select("node", F.col("least_id").alias("doc_id"))
     sets = settled(
@@ -168,19 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         .select("node", "text")
         .mapInArrow(_checked_shingles(shingle), "node bigint, shingles array<bigint>")
     )
-    best = edges.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "shared").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-    first = settled(_linked(best, sets, percent))
-    roots = components(first)
-    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    open_edges = (
-        edges.join(best, ["a", "b"], "left_anti")
-        .join(root_of("a"), "a", "left")
-        .join(root_of("b"), "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        .select("a", "b")
-    )
-    second = _linked(open_edges, sets, percent)
-    roots = components(first.unionAll(second))
+    links = _confirmed(edges, None, sets, percent)
+    roots = components(links)
+    left_out = settled(_left_out(members, hubs, roots, nodes.select("node", "n_shingles"), edges, percent))
+    if not left_out.isEmpty():
+        roots = components(_confirmed(left_out, links, sets, percent))
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = nodes.join(roots.join(dealt_anew(least, "root"), "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
     return (

@@ -109,6 +109,31 @@ def test_near_duplicates_equal_all_pairs(spark, n):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_duplicates_of_one_base_edited_independently(spark, with_base):
+    """Copies are linked with their base (similarity 0.82), but not with each other (about 0.67)."""
+    import random
+
+    from braidlog.llm.near_dedup import near_duplicates
+
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(201)]
+    rows = [(5000, " ".join(base))] if with_base else []
+    for c in range(1000):
+        own = list(base)
+        for at in rng.sample(range(2, 199, 2), 10):  # each changes two shingles of its own
+            own[at] = f"e{c}x{at}"
+        rows.append((c, " ".join(own)))
+    sets = {i: shingles(t, 2) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert {i for i, j in links if j == 5000} == (set(range(1000)) if with_base else set())
+    from braidlog.llm.components import components
+
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()} if links else {}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows), shingle=2).collect()}
+    assert got == {i: roots.get(i, i) for i in sets}
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
