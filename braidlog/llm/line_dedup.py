@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidlog.llm.tables import settled
+
 BLANKS = "\x20\t\n\x0b\x0c\r"
 
 
@@ -28,40 +30,38 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10) -
     Returns all rows and columns of `docs` with `text` rebuilt, plus n_lines and n_dropped.
     Null text counts as empty; an empty text is one empty line. Keys shorter than `min_chars`
     code points are never dropped. Repeated rows of one doc_id count as one document, and so
-    do all rows without a doc_id. A column of `docs` named n_lines or n_dropped is replaced.
+    do all rows without a doc_id; each row loses the lines of its own text. Ties do not arise.
+    An empty table gives no rows. Texts of any length a string can have are taken whole, in
+    time linear in their lines. A column of `docs` named n_lines or n_dropped is replaced; no
+    other name clashes.
 
-    Lines are dealt out by their digest twice: to count distinct documents (with map-side
-    combining, so a line of any frequency makes few rows) and to mark them (a join that
-    adaptive execution splits where one line is frequent). Texts move once, to meet the marks
-    of their own rows.
+    Lines are digested once. Digests are dealt out to count distinct documents (with map-side
+    combining, so a line of any frequency makes few rows), and again to find the places of the
+    common ones (a join that adaptive execution splits where one line is frequent). Texts move
+    once, to meet the dropped places of their own rows.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("all_lines"))
-    lines = keyed.select("doc_id", "row_hash", F.posexplode(F.transform("all_lines", lambda x: _digest(x, min_chars))).alias("line_no", "digest"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    text = lambda row: F.coalesce(row["text"], F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("row_hash"))
+    split = rows.select("doc_id", "row_hash", F.posexplode(F.split(text(F.col("row")), "\n", -1)).alias("line_no", "line"))
+    lines = settled(split.select("doc_id", "row_hash", "line_no", _digest(F.col("line"), min_chars).alias("digest"))).where(F.col("digest").isNotNull())
     common = (
-        lines.where(F.col("digest").isNotNull())
-        .groupBy("digest")
+        lines.groupBy("digest")
         .agg(F.count_distinct(F.struct("doc_id")).alias("n_docs"))
         .where(F.col("n_docs") >= min_docs)
         # written anew, or the join would take this side where the aggregate left it and a
         # frequent line's task could not be split
-        .withColumn("digest", F.substring("digest", 1, 16))
-    )
-    # short lines match nothing; their own digests keep them from meeting in one task
-    own = F.unhex(F.md5(F.concat_ws(":", F.lit("short"), "row_hash", "line_no")))
-    marks = (
-        lines.withColumn("digest", F.coalesce("digest", own))
-        .join(common, "digest", "left")
-        .groupBy("doc_id", "row_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("line_no", F.col("n_docs").isNotNull().alias("common")))).alias("marks"))
-        .where(F.exists("marks", lambda m: m["common"]))
-        .select(F.col("doc_id").alias("marked_id"), F.col("row_hash").alias("marked_hash"), F.transform("marks", lambda m: m["common"]).alias("marks"))
+        .select(F.substring("digest", 1, 16).alias("digest"))
     )
-    out = docs.withColumn("row_hash_", F.xxhash64("text")).join(marks, F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("row_hash_") == F.col("marked_hash")), "left")
-    out = out.withColumn("all_lines_", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    kept = F.array_join(F.array_compact(F.zip_with("all_lines_", "marks", lambda line, common: F.when(~common, line))), "\n")
+    places = lines.join(common, "digest").groupBy(F.col("doc_id").alias("hit_id"), F.col("row_hash").alias("hit_hash")).agg(F.collect_set("line_no").alias("dropped"))
+    out = rows.join(places, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("row_hash") == F.col("hit_hash")), "left")
+    row, dropped = F.col("row"), F.col("dropped")
+    n_lines = F.octet_length(text(row)) - F.octet_length(F.replace(text(row), F.lit("\n"), F.lit(""))) + 1
+    all_lines = F.split(text(row), "\n", -1)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n_lines - 1), dropped), lambda i: F.get(all_lines, i)), "\n")
     return out.select(
-        *(F.when(F.col("marks").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.size("all_lines_").cast("long").alias("n_lines"),
-        F.when(F.col("marks").isNull(), 0).otherwise(F.size(F.filter("marks", lambda m: m))).cast("long").alias("n_dropped"),
+        *(F.when(dropped.isNull(), text(row)).otherwise(kept).alias("text") if c == "text" else row[c].alias(c) for c in columns),
+        n_lines.cast("long").alias("n_lines"),
+        F.when(dropped.isNull(), 0).otherwise(F.size(dropped)).cast("long").alias("n_dropped"),
     )
