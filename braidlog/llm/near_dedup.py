@@ -4,14 +4,12 @@ star-shaped candidate edges, and an exact check on whole shingle sets.
 One hash of every shingle fills BANDS * ROWS bins with the least value that falls in each; an
 empty bin takes the value of the first filled bin along its own fixed pseudo-random walk
 (optimal densification), so two sets agree in a bin with the probability of their similarity.
-ROWS bins make a band, and equal bands a bucket. Every two sets of a bucket are candidates, in
-two passes. In the first, at most HUBS members of each bucket, the first by as many orders
-peculiar to the bucket, are joined with every member. In the second, the pairs of a bucket that
-this left out are taken whole, but for those that links already have in one component.
-
-Each pass confirms its candidates in two rounds: first the best edge of every set, then, of the
-other edges, those that would still join two components. An edge within one component cannot
-change any result, so it is left out; every other one is checked on full sets.
+ROWS bins make a band, and equal bands a bucket. Every two sets of a bucket are candidates. Of
+buckets of up to SMALL sets all pairs are taken; in a larger one a hub is joined with every member,
+which makes a star. What the stars leave out is taken next: all pairs of a bucket that links do
+not have in one component, but for those that a bound on what they can share shows to be too
+different (see _left_out). No number of sets or pairs is a limit. A candidate within one
+component cannot change any result; every other one is checked on full sets.
 """
 
 from __future__ import annotations
@@ -25,9 +23,11 @@ from braidlog.llm.components import components
 from braidlog.llm.tables import dealt_anew, settled
 from braidlog.llm.words import NOT_BLANK, U64, Texts, constants, grams, lists, mix, over_slices
 
-BANDS, ROWS, HUBS = 64, 6, 4
-#: Members of a bucket that are compared with others in one key of a join.
-BLOCK = 256
+BANDS, ROWS = 64, 6
+#: Buckets of so many sets are compared whole; in larger ones a hub is compared first.
+SMALL = 5
+#: A shingle that so many sets of a cluster hold at most is rare there.
+RARE = 8
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -100,8 +100,8 @@ def _sketch(shingle: int, bands: int, rows: int):
         listed = np.zeros(len(counts), dtype=np.int64)
         listed[lead] = bands
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts), pa.array(keys.view(np.int64), mask=alone), lists(pa.array(np.concatenate(found).view(np.int64)), listed)],
-            names=["doc_id", "n_shingles", "node", "bands"],
+            [batch.column("doc_id"), batch.column("row_hash"), pa.array(counts), pa.array(keys.view(np.int64), mask=alone), lists(pa.array(np.concatenate(found).view(np.int64)), listed)],
+            names=["doc_id", "row_hash", "n_shingles", "node", "bands"],
         )
 
     return over_slices(kernel)
@@ -119,17 +119,35 @@ def _checked_shingles(shingle: int):
 
 
 def _members(sketch: DataFrame) -> DataFrame:
-    """(node, bucket) of the buckets of two sets or more."""
+    """(bucket, node, n), distinct, of the buckets of two sets or more; n is the bucket's size."""
     members = sketch.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
     # most buckets hold one set: from here on only the others move
-    return settled(members.join(dealt_anew(shared, "bucket"), "bucket", "left_semi"))
+    members = settled(members.join(dealt_anew(shared, "bucket"), "bucket", "left_semi").distinct())
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    return settled(members.join(dealt_anew(sizes, "bucket"), "bucket").select("bucket", "node", "n"))
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """(bucket, hubs, n): the first node of each bucket by each of HUBS orders, and its rows."""
-    first = (F.min_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias(f"hub{i}") for i in range(HUBS))
-    return members.groupBy("bucket").agg(*first, F.count("*").alias("n")).select("bucket", F.array_distinct(F.array(*(f"hub{i}" for i in range(HUBS)))).alias("hubs"), "n")
+def _all_pairs(small: DataFrame) -> DataFrame:
+    """(node, hub): all pairs of buckets of at most SMALL sets."""
+    nodes = small.groupBy("bucket").agg(F.collect_list("node").alias("nodes"))
+    return nodes.select("nodes", F.explode("nodes").alias("node")).select("node", F.explode(F.filter("nodes", lambda x: x > F.col("node"))).alias("hub"))
+
+
+def _with_company(large: DataFrame) -> DataFrame:
+    """(bucket, node, company): how many others a set meets over all its buckets."""
+    company = large.groupBy("node").agg(F.sum("n").alias("company"))
+    return settled(large.join(dealt_anew(company, "node"), "node").select("bucket", "node", "company"))
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """(node, hub): the hub of each bucket with every other member.
+
+    The member with the most company is the hub: of a group of copies that were edited
+    independently it is the text they come from.
+    """
+    hubs = large.groupBy("bucket").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    return large.join(dealt_anew(hubs, "bucket"), "bucket").where("node <> hub").select("node", "hub")
 
 
 def _met(pairs: DataFrame) -> DataFrame:
@@ -137,36 +155,91 @@ def _met(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.count("*").alias("shared"))
 
 
-def _candidates(members: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The edges of every member of a bucket with its hubs."""
-    return _met(members.join(dealt_anew(hubs, "bucket"), "bucket").select("node", F.explode("hubs").alias("hub")).where("node <> hub"))
+def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, company, root, main) of the buckets in `large` whose members are in several components.
+
+    main is the root of the bucket's most frequent component.
+    """
+    rooted = settled(large.join(dealt_anew(roots, "node"), "node", "left").select("bucket", "node", "company", F.coalesce("root", "node").alias("root")))
+    groups = rooted.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
+    main = groups.groupBy("bucket").agg(F.max_by("root", F.struct("of_root", "root")).alias("main"), F.count("*").alias("n_roots")).where("n_roots > 1")
+    return settled(rooted.join(dealt_anew(main, "bucket"), "bucket").select("bucket", "node", "company", "root", "main"))
+
 
+def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the components that links within buckets of `placed` (see _open) join; none of its links is missed.
 
-def _left_out(members: DataFrame, hubs: DataFrame, roots: DataFrame, sizes: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """The edges of all pairs that share a bucket, are not in one component and not in `edges`.
+    That is without comparing all pairs of a bucket. Buckets with one main component make a
+    cluster, and a shingle is rare if at most RARE sets of its cluster hold it. Two sets that
+    share s rare shingles share at most s + min(c_a, c_b) in all, c being how many of a set's
+    are not rare. Pairs with s > 0 come from joining rare shingles, which makes few pairs for
+    each. Those with s = 0 have to pass the bound by their sizes t and c alone: sets are put
+    into cells of nearly equal t and c, cells are compared by their best members, and only
+    members of cells that pass are compared in their buckets. Copies of one text with edits of
+    their own have many rare shingles, and so only the most edited ones have such partners.
 
-    Every set outside the bucket's most frequent component meets all of the bucket, a block of
-    about BLOCK members at a time. Sets too unequal in size to be linked are no pair.
+    A pair is checked by what its sets lack of, and have beyond, a center of their cluster,
+    which for copies is little; that tells the size of their intersection exactly.
     """
-    open_ = hubs.where(F.col("n") > F.size("hubs") + 1).select("bucket")
-    rooted = settled(
-        members.join(dealt_anew(open_, "bucket"), "bucket", "left_semi")
-        .distinct()
-        .join(dealt_anew(roots, "node"), "node", "left")
-        .select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    placed = placed.withColumnRenamed("main", "cluster")
+    of_node = placed.groupBy("cluster", "node", "root").agg(F.max("company").alias("company"))
+    # a row that is repeated gives its set again
+    own = settled(sets.join(dealt_anew(of_node, "node"), "node").groupBy("cluster", "node", "root", "company").agg(F.first("shingles").alias("shingles")))
+    center = own.where("root = cluster").groupBy("cluster").agg(F.max_by("shingles", F.struct("company", "node")).alias("center"))
+    beyond, lacks = F.array_except("shingles", "center"), F.array_except("center", "shingles")
+    apart = settled(
+        own.join(dealt_anew(center, "cluster"), "cluster")
+        .select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"), F.size("center").cast("long").alias("of_center"), lacks.alias("lacks"), beyond.alias("beyond"))
+        .select("cluster", "node", "root", "t", "of_center", F.size("lacks").cast("long").alias("d"), F.concat("lacks", "beyond").alias("apart"))
     )
-    groups = rooted.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
-    main = groups.groupBy("bucket").agg(F.max_by("root", F.struct("of_root", "root")).alias("main"), F.sum("of_root").alias("n"), F.count("*").alias("n_roots")).where("n_roots > 1")
-    placed = settled(
-        rooted.join(dealt_anew(main, "bucket"), "bucket")
-        .join(dealt_anew(sizes, "node"), "node")
-        .select("bucket", "node", "root", "n_shingles", (F.col("root") != F.col("main")).alias("minor"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    each = own.select("cluster", "node", F.explode("shingles").alias("shingle"))
+    seldom = each.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = settled(each.join(dealt_anew(seldom, "shingle"), ["cluster", "shingle"]))
+    bin_of = lambda x: F.floor(F.log(x) / float(np.log(1.01)))
+    known = settled(
+        own.select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"))
+        .join(rare.groupBy("cluster", "node").agg(F.count("*").alias("u")), ["cluster", "node"], "left")
+        .withColumn("c", F.col("t") - F.coalesce("u", F.lit(0)))
+        .select("cluster", "node", "root", "t", "c", bin_of(F.col("t")).alias("t_bin"), F.when(F.col("c") > 0, bin_of(F.col("c"))).otherwise(-1).alias("c_bin"))
+    )
+    can = lambda s: (100 + percent) * (F.least("c", "other_c") + s) >= percent * (F.col("t") + F.col("other_t"))
+    other = lambda df: df.select(*(F.col(x) if x in ("cluster", "shingle", "block", "bucket") else F.col(x).alias(f"other_{x}") for x in df.columns))
+
+    holders = rare.where("n > 1").select("cluster", "shingle", "node").join(known, ["cluster", "node"]).select("cluster", "shingle", "node", "root", "t", "c")
+    by_rare = (
+        holders.join(other(holders), ["cluster", "shingle"])
+        .where("node < other_node and root <> other_root")
+        .groupBy("cluster", F.col("node").alias("a"), F.col("other_node").alias("b"))
+        .agg(F.count("*").alias("shared"), *(F.first(x).alias(x) for x in ("t", "c", "other_t", "other_c")))
+        .where(can(F.col("shared")))
+        .select("cluster", "a", "b")
     )
-    asking = placed.where("minor").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "root", "n_shingles")
-    asked = placed.select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("n_shingles").alias("hub_shingles"), "minor")
-    small, large = F.least("n_shingles", "hub_shingles"), F.greatest("n_shingles", "hub_shingles")
-    pairs = asking.join(asked, ["bucket", "block"]).where("root <> hub_root and (not minor or node < hub)").where(100 * small >= percent * large)
-    return _met(pairs).join(edges, ["a", "b"], "left_anti")
+
+    # a set whose rare shingles are too many has no partner without sharing some
+    fit = known.where(100 * F.col("c") >= percent * F.col("t"))
+    cells = fit.groupBy("cluster", "t_bin", "c_bin").agg(F.min("t").alias("t"), F.max("c").alias("c"), F.min("root").alias("root"), F.max("root").alias("last_root"))
+    # sets of one link differ by the share `percent` in size at most: they are in neighbouring blocks
+    width = int(np.ceil(np.log(100 / percent) / np.log(1.01))) + 2
+    block = F.floor(F.col("t_bin") / width)
+    asking_cells = cells.withColumn("block", F.explode(F.array(block - 1, block, block + 1)))
+    passing = (
+        asking_cells.join(other(cells.withColumn("block", block)), ["cluster", "block"])
+        .where(can(F.lit(0)) & ((F.col("root") != F.col("other_root")) | (F.col("root") != F.col("last_root")) | (F.col("root") != F.col("other_last_root"))))
+        .select("cluster", "t_bin", "c_bin", "other_t_bin", "other_c_bin")
+    )
+    here = settled(placed.select("bucket", "cluster", "node", (F.col("root") != F.col("cluster")).alias("minor")).join(dealt_anew(fit, "node"), ["cluster", "node"]))
+    asked = other(here.drop("cluster"))
+    by_size = (
+        here.where("minor")
+        .join(dealt_anew(passing, "t_bin"), ["cluster", "t_bin", "c_bin"])
+        .join(asked, ["bucket", "other_t_bin", "other_c_bin"])
+        .where(can(F.lit(0)) & F.expr("root <> other_root and (not other_minor or node < other_node)"))
+        .select("cluster", F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    )
+    side = lambda end: apart.select("cluster", F.col("node").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in ("root", "t", "of_center", "d", "apart")))
+    both = by_rare.unionAll(by_size).distinct().join(side("a"), ["cluster", "a"]).join(side("b"), ["cluster", "b"])
+    common = F.col("of_center_a") - F.col("d_a") - F.col("d_b") + F.size(F.array_intersect("apart_a", "apart_b"))
+    return both.where(100 * common >= percent * (F.col("t_a") + F.col("t_b") - common)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def _linked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,42 +250,27 @@ def _linked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * small.cast("long") >= percent * large).where(100 * common >= percent * (small + large - common)).select("a", "b")
 
 
-def _confirmed(edges: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
-    """`links` and those of `edges` that are similar enough, but for some within one component."""
-    both = lambda x: x if links is None else links.unionAll(x)
-    best = edges.select(F.explode(F.array("a", "b")).alias("node"), "a", "b", "shared").groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-    first = both(settled(_linked(best, sets, percent)))
-    roots = components(first)
-    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    open_edges = (
-        edges.join(best, ["a", "b"], "left_anti")
-        .join(root_of("a"), "a", "left")
-        .join(root_of("b"), "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-        .select("a", "b")
-    )
-    return first.unionAll(settled(_linked(open_edges, sets, percent)))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row of `docs` (doc_id, text): n_shingles, component_id, kept.
+    """Per row of `docs` (doc_id, text): row_hash, n_shingles, component_id, kept.
 
     Two documents are linked if their sets of `shingle`-word shingles have 100 * intersection
     >= percent * union. Words are runs of anything but ASCII blanks, A-Z lower-cased; a text of
     fewer words, but not none, has its whole word sequence as its one shingle. component_id is
     the least doc_id reachable over links, and kept marks the row of that doc_id.
-    Null, empty and blank texts are linked with nothing. Repeated rows of one doc_id share its
-    component and all carry kept. A row without a doc_id takes no part: it has no component
-    and is kept. Columns other than doc_id and text are ignored.
+    Null, empty and blank texts are linked with nothing. Each row has the component of its own
+    text: repeated rows share it and carry the same kept, and a doc_id with several texts can have
+    several components. A row without a doc_id takes no part: it has no component and is kept.
+    row_hash is xxhash64 of the text and tells an id's rows apart. An empty table gives no
+    rows; texts are taken whole, a slice of some at a time; other columns are ignored.
 
     Rows with equal sets are one node throughout, so thousands of copies cost one.
     """
-    docs = docs.select("doc_id", "text")
-    sketch = settled(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    sketch = settled(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id bigint, row_hash bigint, n_shingles bigint, node bigint, bands array<bigint>"))
     nodes = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
     members = _members(sketch)
-    hubs = settled(_hubs(members))
-    edges = settled(_candidates(members, hubs))
+    large = _with_company(members.where(F.col("n") > SMALL))
+    edges = settled(_met(_all_pairs(members.where(F.col("n") <= SMALL)).unionAll(_stars(large))))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = ends.join(nodes, "node").select("node", F.col("least_id").alias("doc_id"))
     sets = settled(
@@ -220,16 +278,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         .select("node", "text")
         .mapInArrow(_checked_shingles(shingle), "node bigint, shingles array<bigint>")
     )
-    links = _confirmed(edges, None, sets, percent)
-    roots = components(links)
-    left_out = settled(_left_out(members, hubs, roots, nodes.select("node", "n_shingles"), edges, percent))
-    if not left_out.isEmpty():
-        roots = components(_confirmed(left_out, links, sets, percent))
+    roots = components(_linked(edges, sets, percent))
+    placed = _open(large, roots)
+    if not placed.isEmpty():
+        joins = settled(_left_out(placed, sets, percent))
+        if not joins.isEmpty():
+            # components that the rest joins: their roots get new ones, and lone sets among them too
+            new = settled(components(joins).select(F.col("node").alias("root"), F.col("root").alias("new_root")))
+            alone = new.join(roots, new["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("new_root").alias("root"))
+            roots = roots.join(dealt_anew(new, "root"), "root", "left").select("node", F.coalesce("new_root", "root").alias("root")).unionAll(alone)
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = nodes.join(roots.join(dealt_anew(least, "root"), "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
     return (
-        sketch.select("doc_id", "n_shingles", "node")
+        sketch.select("doc_id", "row_hash", "n_shingles", "node")
         .join(dealt_anew(of_node, "node"), "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

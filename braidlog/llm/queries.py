@@ -37,7 +37,7 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

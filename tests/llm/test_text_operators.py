@@ -135,21 +135,36 @@ def test_near_duplicates_of_one_base_edited_independently(spark, with_base):
     assert got == {i: roots.get(i, i) for i in sets}
 
 
-def test_every_pair_of_a_bucket_is_a_candidate(spark):
+def test_pairs_beside_the_hubs(spark):
+    """Buckets of unlinked sets, one of each base: exactly the similar pairs come out."""
     import random
 
-    from braidlog.llm.near_dedup import _candidates, _hubs, _left_out
+    from braidlog.llm.near_dedup import _all_pairs, _left_out, _open, _stars, _with_company
 
     rng = random.Random(4)
-    buckets = {rng.getrandbits(63): [rng.getrandbits(63) for _ in range(n)] for n in (2, 3, 4, 5, 20, 300)}
-    members = spark.createDataFrame([(x, b) for b, nodes in buckets.items() for x in nodes], "node bigint, bucket bigint")
-    hubs = _hubs(members)
-    assert len({r["bucket"]: r["hubs"] for r in hubs.collect()}[list(buckets)[-1]]) > 2
-    edges = _candidates(members, hubs)
-    sizes = members.select("node", F.lit(9).cast("long").alias("n_shingles"))
-    left_out = _left_out(members, hubs, spark.createDataFrame([], "node bigint, root bigint"), sizes, edges, 80)
-    pairs = [(r["a"], r["b"]) for r in edges.unionAll(left_out).collect()]
-    assert sorted(pairs) == sorted((x, y) for nodes in buckets.values() for x in nodes for y in nodes if x < y)
+    bases, sets, bucket_of = [[rng.getrandbits(62) for _ in range(120)] for _ in range(4)], {}, {}
+    for bucket, base in enumerate(bases):
+        for _ in range(60):
+            share = rng.choice([0.02, 0.06, 0.1, 0.13, 0.2])
+            # half of the edits are values that others draw too
+            own = {x if rng.random() > share else (rng.getrandbits(62) if rng.random() < 0.5 else rng.randrange(60)) for x in base}
+            sets[rng.getrandbits(62)] = own
+        small = set(base[: rng.randrange(4, 9)])
+        sets[rng.getrandbits(62)], sets[rng.getrandbits(62)] = small, small | {1}
+        bucket_of |= {x: bucket for x in sets if x not in bucket_of}
+    members = spark.createDataFrame(list(bucket_of.items()), "node bigint, bucket bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    table = spark.createDataFrame([(x, list(s)) for x, s in sets.items()], "node bigint, shingles array<bigint>")
+    large = _with_company(members.withColumn("n", F.lit(62)))
+    placed = _open(large, roots)
+    assert placed.count() == len(sets)
+    got = [tuple(sorted((r["a"], r["b"]))) for r in _left_out(placed, table.unionAll(table), 80).collect()]
+    alike = {(x, y) for x in sets for y in sets if x < y and bucket_of[x] == bucket_of[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert len(got) == len(set(got)) and set(got) == alike and len(alike) > 100
+    stars = [(r["node"], r["hub"]) for r in _stars(large).collect()]
+    assert len(stars) == len(sets) - 4 and len({b for _, b in stars}) == 4
+    few = members.limit(5).withColumn("bucket", F.lit(1))
+    assert len({frozenset((r["node"], r["hub"])) for r in _all_pairs(few).collect()}) == 10
 
 
 def words(text):
