@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.llm.components import components
@@ -166,6 +166,16 @@ def _open(large: DataFrame, roots: DataFrame) -> DataFrame:
     return settled(rooted.join(dealt_anew(main, "bucket"), "bucket").select("bucket", "node", "company", "root", "main"))
 
 
+def _bit_set(values: str, word: int) -> Column:
+    """A bit for each of the hashes in `values` that belong to `word`, by their low bits, of a set of four words."""
+
+    def add(bits: Column, x: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 2).bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(x.bitwiseAND(F.lit(3)) == word, bits.bitwiseOR(bit)).otherwise(bits)
+
+    return F.aggregate(values, F.lit(0).cast("long"), add)
+
+
 def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the components that links within buckets of `placed` (see _open) join; none of its links is missed.
 
@@ -178,37 +188,49 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members of cells that pass are compared in their buckets. Copies of one text with edits of
     their own have many rare shingles, and so only the most edited ones have such partners.
 
-    A pair is checked by what its sets lack of, and have beyond, a center of their cluster,
-    which for copies is little; that tells the size of their intersection exactly.
+    A pair is compared by what its sets lack of, and have beyond, a center of their cluster,
+    which for copies is little: first by bit sets of it, which bound how much of it they share,
+    then by itself, which tells the size of their intersection exactly.
     """
     placed = placed.withColumnRenamed("main", "cluster")
     of_node = placed.groupBy("cluster", "node", "root").agg(F.max("company").alias("company"))
     # a row that is repeated gives its set again
     own = settled(sets.join(dealt_anew(of_node, "node"), "node").groupBy("cluster", "node", "root", "company").agg(F.first("shingles").alias("shingles")))
     center = own.where("root = cluster").groupBy("cluster").agg(F.max_by("shingles", F.struct("company", "node")).alias("center"))
-    beyond, lacks = F.array_except("shingles", "center"), F.array_except("center", "shingles")
+    lacks, beyond = F.array_except("center", "shingles"), F.array_except("shingles", "center")
     apart = settled(
         own.join(dealt_anew(center, "cluster"), "cluster")
-        .select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"), F.size("center").cast("long").alias("of_center"), lacks.alias("lacks"), beyond.alias("beyond"))
-        .select("cluster", "node", "root", "t", "of_center", F.size("lacks").cast("long").alias("d"), F.concat("lacks", "beyond").alias("apart"))
+        .select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"), F.concat(lacks, beyond).alias("apart"))
+        .select("cluster", "node", "root", "t", "apart", F.size("apart").cast("long").alias("d"), *(_bit_set("apart", i).alias(f"bits{i}") for i in range(4)))
+        .withColumn("alike", F.col("d") - sum(F.bit_count(f"bits{i}") for i in range(4)))
     )
     each = own.select("cluster", "node", F.explode("shingles").alias("shingle"))
     seldom = each.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
     rare = settled(each.join(dealt_anew(seldom, "shingle"), ["cluster", "shingle"]))
     bin_of = lambda x: F.floor(F.log(x) / float(np.log(1.01)))
     known = settled(
-        own.select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"))
+        apart.drop("apart")
         .join(rare.groupBy("cluster", "node").agg(F.count("*").alias("u")), ["cluster", "node"], "left")
         .withColumn("c", F.col("t") - F.coalesce("u", F.lit(0)))
-        .select("cluster", "node", "root", "t", "c", bin_of(F.col("t")).alias("t_bin"), F.when(F.col("c") > 0, bin_of(F.col("c"))).otherwise(-1).alias("c_bin"))
+        .withColumns({"t_bin": bin_of(F.col("t")), "c_bin": F.when(F.col("c") > 0, bin_of(F.col("c"))).otherwise(-1)})
+        .drop("u")
     )
     can = lambda s: (100 + percent) * (F.least("c", "other_c") + s) >= percent * (F.col("t") + F.col("other_t"))
     other = lambda df: df.select(*(F.col(x) if x in ("cluster", "shingle", "block", "bucket") else F.col(x).alias(f"other_{x}") for x in df.columns))
 
-    holders = rare.where("n > 1").select("cluster", "shingle", "node").join(known, ["cluster", "node"]).select("cluster", "shingle", "node", "root", "t", "c")
+    def linked(same, t: str, d: str, other_t: str, other_d: str):
+        """Whether sets of t and other_t shingles are linked if `same` of the d and other_d by which they differ from the center are the same."""
+        both = F.col(t) + F.col(other_t)
+        return (100 + percent) * (both - F.col(d) - F.col(other_d) + 2 * same) >= 2 * percent * both
+
+    # a bit stands for what both have of it, but for what shares a bit with more of its own set
+    same_bits = sum(F.bit_count(F.col(f"bits{i}").bitwiseAND(F.col(f"other_bits{i}"))) for i in range(4))
+    may = linked(same_bits + F.least("alike", "other_alike"), "t", "d", "other_t", "other_d")
+
+    holders = rare.where("n > 1").select("cluster", "shingle", "node").join(known.drop("t_bin", "c_bin"), ["cluster", "node"])
     by_rare = (
         holders.join(other(holders), ["cluster", "shingle"])
-        .where("node < other_node and root <> other_root")
+        .where(F.expr("node < other_node and root <> other_root") & may)
         .groupBy("cluster", F.col("node").alias("a"), F.col("other_node").alias("b"))
         .agg(F.count("*").alias("shared"), *(F.first(x).alias(x) for x in ("t", "c", "other_t", "other_c")))
         .where(can(F.col("shared")))
@@ -233,13 +255,13 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         here.where("minor")
         .join(dealt_anew(passing, "t_bin"), ["cluster", "t_bin", "c_bin"])
         .join(asked, ["bucket", "other_t_bin", "other_c_bin"])
-        .where(can(F.lit(0)) & F.expr("root <> other_root and (not other_minor or node < other_node)"))
+        .where(can(F.lit(0)) & may & F.expr("root <> other_root and (not other_minor or node < other_node)"))
         .select("cluster", F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
     )
-    side = lambda end: apart.select("cluster", F.col("node").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in ("root", "t", "of_center", "d", "apart")))
+    side = lambda end: apart.select("cluster", F.col("node").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in ("root", "t", "d", "apart")))
     both = by_rare.unionAll(by_size).distinct().join(side("a"), ["cluster", "a"]).join(side("b"), ["cluster", "b"])
-    common = F.col("of_center_a") - F.col("d_a") - F.col("d_b") + F.size(F.array_intersect("apart_a", "apart_b"))
-    return both.where(100 * common >= percent * (F.col("t_a") + F.col("t_b") - common)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    same = F.size(F.array_intersect("apart_a", "apart_b")).cast("long")
+    return both.where(linked(same, "t_a", "d_a", "t_b", "d_b")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def _linked(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
