@@ -119,14 +119,13 @@ def has_letter(text: bytes | None, ascii_letters: bool) -> bool:
     return bool(text) and (ascii_letters or any(c.isalpha() for c in text.decode(errors="replace")))
 
 
-def sample_of(docs: DataFrame, trains: Column, per_language: int = 400, max_chars: int = 8000) -> list[tuple[str, str]]:
-    """At most `per_language` texts of each language, of at most `max_chars` characters, by the hash of their id."""
+def sample_of(docs: DataFrame, trains: Column, per_language: int = 400) -> list[tuple[str, str]]:
+    """At most `per_language` texts of each language, of any length, by the hash of their id; repeated rows count as texts."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(trains)
-    ids = drawn(known.where(F.length("text") <= max_chars), "lang", per_language, ["lang", "doc_id"])
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "doc_id")
-    rows = known.where(F.length("text") <= max_chars).select("text", "lang", "doc_id").join(F.broadcast(ids), ["lang", "doc_id"]).collect()
-    return sorted((r["text"], r["lang"]) for r in rows)
+    rows = drawn(known, "lang", per_language, ["lang", "doc_id", "text"])
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("text", "lang")
+    return sorted((r["text"], r["lang"]) for r in rows.collect())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

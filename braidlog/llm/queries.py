@@ -52,7 +52,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.sampling import labelled
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sample = labelled(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 5) != 0, per_class=600, max_chars=8000)
+    sample = labelled(docs, table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 5) != 0, per_class=600)
     out = q.quality(docs, q.train(sample), threshold=0.3)
     return out.select("doc_id", held_out(5, 0), "score", "predicted")
 
@@ -90,7 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.sampling import labelled
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sample = labelled(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, per_class=1500, max_chars=20000)
+    sample = labelled(docs, table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, per_class=1500)
     out = t.toxicity(docs, t.train(sample), threshold=0.5)
     return out.select("doc_id", held_out(5, 0), "score", "predicted")
 

@@ -26,15 +26,15 @@ def drawn(rows: DataFrame, group: str, per_group: int, columns: list[str]) -> Da
     return known.where(F.col("draw") * F.col("n_") < F.lit(4 * per_group).cast("double") * DRAW).select(*columns, "draw")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, trains: Column, per_class: int, max_chars: int) -> list[tuple[str, int]]:
-    """At most `per_class` texts of each label 0 and 1, of at most `max_chars` characters, by the hash of their id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, trains: Column, per_class: int) -> list[tuple[str, int]]:
+    """At most `per_class` texts of each label 0 and 1, of any length, by the hash of their id.
 
     `trains` says which doc_ids may be learned from. The bounds hold whatever the tables' size;
     they are of the fit alone, never of what is scored.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(trains).select("doc_id", F.col(label).alias("label")).distinct()
     ids = drawn(known, "label", per_class, ["doc_id", "label"])  # ids are drawn before any text moves
-    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     out = []
     for kind in (0, 1):
         rows = texts.where(F.col("label") == kind).orderBy("draw", "doc_id", "text").limit(per_class).collect()

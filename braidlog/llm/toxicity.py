@@ -1,6 +1,7 @@
 """Toxicity by a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-A text is the set of its hashed n-grams of lower-cased UTF-8 bytes, a blank before and after.
+A text is the set of its hashed n-grams of lower-cased characters (code points), a blank before
+and after; long texts are taken a stretch at a time.
 Each n-gram's feature is its naive Bayes log-count ratio, and a logistic regression over these
 features is fitted on labelled texts; ratio and weight are then one number for each n-gram.
 """
@@ -16,23 +17,14 @@ from braidlog.llm.words import U64, constants, mix, over_slices
 
 SIZES, BITS = (3, 4, 5), 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_LOWER[0x09:0x0E] = 0x20
+#: Characters whose n-grams are hashed at once.
+STRETCH = 1 << 18
 
 
-def features(text: bytes) -> np.ndarray:
-    """The distinct features of a text."""
-    data = _LOWER[np.frombuffer(b" " + text + b" ", dtype=np.uint8)].astype(U64)
-    c, parts, partial = constants(max(SIZES), 31), [], None
-    for n in range(1, max(SIZES) + 1):
-        if len(data) < n:
-            break
-        last = data[n - 1 :] * c[n - 1]
-        partial = last if partial is None else partial[: len(data) - n + 1] + last
-        if n in SIZES:
-            parts.append((mix(partial + U64(n)) >> U64(64 - BITS)).astype(np.int32))
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+def _codes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(U64)
+    codes[(codes >= 0x09) & (codes <= 0x0D)] = 0x20
+    return codes
 
 
 _stamp = np.zeros(1 << BITS, dtype=np.int32)
@@ -45,6 +37,24 @@ def distinct(found: np.ndarray) -> np.ndarray:
     return found[_stamp[found] == places]
 
 
+def features(text: str) -> np.ndarray:
+    """The distinct features of a text."""
+    out, c, most = np.empty(0, dtype=np.int32), constants(max(SIZES), 31), max(SIZES)
+    padded = f" {text} "
+    for at in range(0, len(padded), STRETCH):
+        data = _codes(padded[at : at + STRETCH + most - 1])
+        parts, partial = [out], None
+        for n in range(1, most + 1):
+            if len(data) < n:
+                break
+            last = data[n - 1 :] * c[n - 1]
+            partial = last if partial is None else partial[: len(data) - n + 1] + last
+            if n in SIZES:
+                parts.append((mix(partial + U64(n)) >> U64(64 - BITS)).astype(np.int32))
+        out = distinct(np.concatenate(parts))
+    return out
+
+
 def train(sample: list[tuple[str, int]], rounds: int = 150, penalty: float = 1e-4, certain: float = 3.5) -> tuple[np.ndarray, float]:
     """Weight of each feature and the bias.
 
@@ -55,7 +65,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, penalty: float = 1e-
     if not len(labels) or labels.min() == labels.max():
         rate = (labels.sum() + 0.5) / (len(labels) + 1)
         return np.zeros(size, dtype=np.float32), float(np.log(rate / (1 - rate)))
-    rows = [distinct(features(t.encode())) for t, _ in sample]
+    rows = [features(t) for t, _ in sample]
     up, down = np.ones(size), np.ones(size)
     for found, label in zip(rows, labels, strict=True):
         (up if label else down)[found] += 1
@@ -83,25 +93,26 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, penalty: float = 1e-
     return weights, float(bias)
 
 
-def score(weights: np.ndarray, bias: float, text: bytes) -> float:
+def score(weights: np.ndarray, bias: float, text: str) -> float:
     """The probability that `text` is toxic."""
-    z = bias + float(weights[distinct(features(text))].sum(dtype=np.float64))
+    z = bias + float(weights[features(text)].sum(dtype=np.float64))
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
     """Per row of `docs`: all its columns, then score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
-    The whole of each text is scored. Null and empty texts have no n-gram but that of blanks and
-    get the bias's score; repeated rows are scored alike. Columns of `docs` named score or
-    predicted are replaced. The model has a fixed size.
+    The whole of each text is scored, in memory of a few times its size. Null and empty texts
+    have no n-gram and get the bias's score; repeated rows are scored alike; an empty table
+    gives no rows. Columns of `docs` named score or predicted are replaced. The model has a
+    fixed size.
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         weights, bias = shared.value
-        got = [score(weights, bias, x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        got = [score(weights, bias, x or "") for x in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, type=pa.float64())], names=[*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -136,12 +136,20 @@ def test_toxicity_held_out_and_edges(spark):
 
     known = labelled_texts()
     model = t.train(known[:180])
-    assert [int(t.score(*model, x.encode()) >= 0.5) for x, _ in known[180:]] == [y for _, y in known[180:]]
+    assert [int(t.score(*model, x) >= 0.5) for x, _ in known[180:]] == [y for _, y in known[180:]]
     out = t.toxicity(documents(spark), model)
     assert out.columns.count("score") == 1 and out.count() == len(texts())
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out.collect())
-    assert t.score(*t.train([]), b"x") == 0.5
-    assert t.score(*t.train([("a", 0), ("b", 0)]), b"x") < 0.5
+    assert t.score(*t.train([]), "x") == 0.5
+    assert t.score(*t.train([("a", 0), ("b", 0)]), "x") < 0.5
+    # a text's features, in one stretch or several, are those of its n-grams one by one
+    text, whole = "Über <Ÿ>\tabc abc \U0001f600 end", t.features("Über <Ÿ>\tabc abc \U0001f600 end")
+    grams = {f" {text.lower()} ".replace("\t", " ")[i : i + n] for n in t.SIZES for i in range(len(text) + 3 - n)}
+    assert len(whole) == len(set(whole.tolist())) == len(grams)
+    stretch, t.STRETCH = t.STRETCH, 5
+    assert sorted(t.features(text)) == sorted(whole)
+    t.STRETCH = stretch
+    assert t.toxicity(documents(spark, []), model).count() == 0
     found = np.array([3, 1, 3, 2, 1], dtype=np.int32)
     assert sorted(t.distinct(found)) == [1, 2, 3]
 
@@ -215,6 +223,6 @@ def test_samples_are_bounded(spark):
 
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)] + [(None, "x"), (7, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(5, None), (None, 1)], "doc_id bigint, toxic int")
-    got = labelled(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, 30, 100)
+    got = labelled(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, 30)
     assert collections.Counter(y for _, y in got) == {0: 30, 1: 30}
     assert all(zlib.crc32(t.split()[1].encode()) % 5 for t, _ in got)
