@@ -7,8 +7,12 @@ decontaminate documents that hold 10 consecutive words of a `benchmark` item go
 pack          what is left becomes pieces in sequences of 1024 tokens
 
 All stages but the last return the columns of `documents`, whatever further ones it has, with
-n_chars kept true to the text. Null texts are empty from line_dedup on. Rows without a doc_id
-pass every filter that their text passes; near_dedup keeps them, as it cannot name them.
+their own values: names that operators use for results do not clash. n_chars is kept true to
+the text. Null texts are empty from line_dedup on; empty ones are no one's duplicates and stay.
+Stages decide about rows by their id and text: of rows that share an id, each goes or stays for
+its own text, and equal rows fare alike. Rows without a doc_id pass every filter that their text
+passes; near_dedup keeps them, as it cannot name them. Texts of any length are taken whole, and
+empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,32 +33,49 @@ from braidlog.llm.tables import settled, table
 ORACLE_SQL = None
 
 
+def _own_names(docs: DataFrame) -> dict[str, str]:
+    """A name for each column of `docs` that no operator's results have."""
+    return {c: c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)}
+
+
+def _renamed(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`").alias(own) for c, own in _own_names(docs).items()))
+
+
+def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*(F.col(own).alias(c) for c, own in _own_names(docs).items()))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` (by its own names) that are not in `gone` (doc_id, row_hash): an id's other texts stay."""
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti")
+
+
 def _nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sample = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", F.lit(True), per_class=1500, max_chars=20000)
-    return toxicity.toxicity(docs, toxicity.train(sample)).where("predicted = 0").select(docs.columns)
+    sample = labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", F.lit(True), per_class=1500)
+    return _restored(toxicity.toxicity(_renamed(docs), toxicity.train(sample)).where("predicted = 0"), docs)
 
 
 def _without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_common_lines(docs, min_chars=1, min_docs=10)
+    out = _restored(drop_common_lines(_renamed(docs), min_chars=1, min_docs=10), docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out
 
 
 def _first_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    groups = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
+    return _restored(_without(_renamed(docs), groups.where(~F.col("kept"))), docs)
 
 
 def _uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
-    hit = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("row_hash").alias("hit_hash")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_hash")), "left_anti").select(docs.columns)
+    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), window=10)
+    return _restored(_without(_renamed(docs), found.where("contaminated")), docs)
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("byte_bpe_50k.json").decode(), end=2, size=1024)
+    return pack(docs.select("doc_id", "text"), vocabulary("byte_bpe_50k.json").decode(), end=2, size=1024)
 
 
 STAGES = [
