@@ -1,8 +1,9 @@
 """Language identification, words first: known words by their frequency in each language, others by n-grams.
 
 A word the model knows scores its smoothed log frequency in each language. An unseen one, with
-a blank at both ends, scores the mean of those of its byte n-grams that are known, at the
-longest size that has any, from the longest down to single bytes.
+a blank at both ends, scores the mean of those of its character n-grams that are known, at the
+longest size that has any, from the longest down to single characters. Words are runs of
+letters, whatever the script, in lower case.
 """
 
 from __future__ import annotations
@@ -13,12 +14,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.llm.sampling import drawn
-from braidlog.llm.words import U64, constants, hashes, joined, mix, over_slices, spans
+from braidlog.llm.words import U64, constants, hashes, mix, over_slices, spans
 
 SIZES = (5, 4, 3, 2, 1)
-_BYTES = np.arange(256)
-LETTERS = ((_BYTES | 0x20) >= 0x61) & ((_BYTES | 0x20) <= 0x7A) & (_BYTES < 0x80) | (_BYTES >= 0x80)
-_LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _characters() -> dict[str, np.ndarray]:
+    """By code point: whether it is a letter, its lower case where that is one character, and a value for hashes."""
+    if not _tables:
+        every = [chr(i) for i in range(0x110000)]
+        lower = [x.lower() for x in every]
+        _tables["letter"] = np.array([x.isalpha() for x in every])
+        _tables["lower"] = np.array([ord(y) if len(y) == 1 else ord(x) for x, y in zip(every, lower, strict=True)], dtype=np.uint32)
+        _tables["value"] = mix(_tables["lower"].astype(U64) + U64(77))
+    return _tables
+
+
+def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts with a blank between, where each text begins, and begin and end of each word."""
+    begins = np.zeros(len(texts) + 1, dtype=np.int64)
+    np.cumsum([len(t or "") + 1 for t in texts], out=begins[1:])
+    codes = np.frombuffer((" ".join(t or "" for t in texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, begins, *spans(codes, _characters()["letter"])
+
+
+def _word_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return hashes(codes, begins, ends, _characters()["value"])
+
+
 UNDETERMINED = "und"
 
 
@@ -51,11 +75,11 @@ def _padded(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.
     """The words end to end with a blank before each and after the last, and where each one's first blank is."""
     sizes = ends - begins + 1
     first = np.concatenate(([0], np.cumsum(sizes)))
-    out = np.full(first[-1] + 1, 0x20, dtype=np.uint8)
+    out = np.full(first[-1] + 1, 0x20, dtype=np.uint32)
     inside = np.ones(first[-1], dtype=bool)
     inside[first[:-1]] = False
     source = np.repeat(begins - first[:-1] - 1, sizes) + np.arange(first[-1])
-    out[:-1][inside] = _LOWER[data[source[inside]]]
+    out[:-1][inside] = _characters()["lower"][data[source[inside]]]
     return out, first
 
 
@@ -82,9 +106,8 @@ class Model:
         self.languages = sorted({lang for _, lang in sample})
         words, grams = {}, {n: {} for n in SIZES}
         for lang in self.languages:
-            data, _ = joined(pa.array([t for t, x in sample if x == lang], type=pa.string()))
-            begins, ends = spans(data, LETTERS)
-            words[lang] = np.unique(hashes(data, begins, ends), return_counts=True)
+            data, _, begins, ends = _joined([t for t, x in sample if x == lang])
+            words[lang] = np.unique(_word_hashes(data, begins, ends), return_counts=True)
             padded, first = _padded(data, begins, ends)
             for n in SIZES:
                 grams[n][lang] = np.unique(_own_grams(padded, first, n)[0], return_counts=True)
@@ -94,7 +117,7 @@ class Model:
     def word_scores(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word a row of scores; 0 for words of which nothing is known."""
         out = np.zeros((len(begins), len(self.languages)), dtype=np.float32)
-        at = self.words.find(hashes(data, begins, ends))
+        at = self.words.find(_word_hashes(data, begins, ends))
         known = at >= 0
         out[known] = self.words.rows[at[known]]
         left = np.flatnonzero(~known)
@@ -115,10 +138,6 @@ class Model:
         return out
 
 
-def has_letter(text: bytes | None, ascii_letters: bool) -> bool:
-    return bool(text) and (ascii_letters or any(c.isalpha() for c in text.decode(errors="replace")))
-
-
 def sample_of(docs: DataFrame, trains: Column, per_language: int = 400) -> list[tuple[str, str]]:
     """At most `per_language` texts of each language, of any length, by the hash of their id; repeated rows count as texts."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(trains)
@@ -134,28 +153,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     lang_pred is `und`, with score 0, if text is null, empty or has no letter, or the model has
     learned no language. Else it is the language with the largest mean over all words of the
     text, the first in order of equals, and score its share of the exponentials of the sums
-    over at most 20 words' worth. Repeated rows fare alike; columns of `docs` named lang_pred or
-    score are replaced. The model is as large as its sample's bound allows.
+    over at most 20 words' worth. Repeated rows fare alike; an empty table gives no rows; columns
+    of `docs` named lang_pred or score are replaced. Texts are taken whole, in memory of some 50
+    times the longest one's. The model is as large as its sample's bound allows.
     """
     docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        data, text_begins = joined(batch.column("text"))
-        begins, ends = spans(data, LETTERS)
+        data, text_begins, begins, ends = _joined(batch.column("text").to_pylist())
         bounds = np.searchsorted(begins, text_begins)
         counts = np.diff(bounds)
         scores = model.word_scores(data, begins, ends) if model.languages else np.zeros((len(begins), 1), dtype=np.float32)
         sums = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)))
         means = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(counts, 1)[:, None]
-        plain = np.concatenate(([0], np.cumsum(LETTERS[data] & (data < 0x80))))
-        ascii_letters = plain[text_begins[1:]] > plain[text_begins[:-1]]
         best = means.argmax(axis=1)
         z = np.exp((means - means.max(axis=1, keepdims=True)) * np.minimum(counts, 20)[:, None])
         sure = z.max(axis=1) / z.sum(axis=1)
-        fine = [bool(model.languages) and has_letter(t, a) for t, a in zip(texts, ascii_letters, strict=True)]
+        fine = (counts > 0) & bool(model.languages)
         names = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, fine, strict=True)]
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(names, type=pa.string()), pa.array(np.where(fine, sure, 0.0).astype(np.float64))], names=[*batch.schema.names, "lang_pred", "score"]

@@ -69,15 +69,15 @@ def spans(data: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return edges[::2], edges[1::2]
 
 
-def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z taken as a-z."""
+def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, of_symbol: np.ndarray = _LOWERED) -> np.ndarray:
+    """64-bit hash of each word by the values of its symbols; by default of bytes, A-Z taken as a-z."""
     out = np.empty(len(begins), dtype=U64)
     lo = 0
     while lo < len(begins):  # long texts in pieces
         hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + 2 * SLICE, side="right")))
         start, stop = int(begins[lo]), int(ends[hi - 1])
         up, down = _power_tables(stop - start)
-        values = _LOWERED[data[start:stop]]
+        values = of_symbol[data[start:stop]]
         values *= up[: stop - start]
         at = begins[lo:hi] - start
         # bytes between two words add to the first one's sum; their sums are taken off
