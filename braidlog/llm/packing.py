@@ -2,8 +2,10 @@
 
 Best-fit decreasing runs in each of many partitions. Dual-feasible functions bound the number
 of sequences a partition needs from below; where best fit reaches the bound, its packing is
-proved optimal and stays. The others keep their full sequences, pool the pieces of the rest
-with those of their neighbours and run again, until every bound is met or one pool is left.
+proved optimal and stays. Where it does not, sequences are filled anew by subset sums, and the
+better packing counts. Partitions that still have gaps keep their full sequences; those with
+room are dealt out into new partitions and packed again, until every bound is met or a round
+gains next to nothing. A partition has about the same number of pieces in every round.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from braidlog.llm.tables import settled
 from braidlog.llm.words import slices
 
-#: Pieces in a partition of the first round, and partitions that pool in each later one.
-PIECES, NEIGHBOURS = 8_000, 8
+#: Pieces in a partition, in every round.
+PIECES = 8_000
+#: A round that saves less than this share of the open sequences is the last.
+WORTH = 0.001
 
 #: The word pattern of the byte-level vocabulary's own pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,20 +42,19 @@ def byte_symbols() -> dict[str, int]:
 
 
 def encoder(vocabulary: str):
-    """A function from text to the token ids of a byte-level BPE file's content, special tokens taken as text."""
+    """A function from text to the token ids of a byte-level BPE file's content; special tokens in texts are their ids."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _encoders:
         import tiktoken
         from tokenizers import Tokenizer
 
         plain = Tokenizer.from_str(vocabulary)
-        plain.encode_special_tokens = True
         content, symbols = json.loads(vocabulary), byte_symbols()
-        special = {x["content"] for x in content["added_tokens"]}
+        special = {x["content"]: x["id"] for x in content["added_tokens"]}
         ranks = {bytes(symbols[c] for c in t): i for t, i in content["model"]["vocab"].items() if t not in special}
         # the same merges and pattern, several times faster; its pattern matcher cannot take very long runs of blanks
-        fast, blanks = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), re.compile(r"\s{5000}")
-        _encoders[key] = lambda text: plain.encode(text, add_special_tokens=False).ids if len(text) >= 5000 and blanks.search(text) else fast.encode_ordinary(text)
+        fast, blanks = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), re.compile(r"\s{5000}")
+        _encoders[key] = lambda text: plain.encode(text, add_special_tokens=False).ids if len(text) >= 5000 and blanks.search(text) else fast.encode(text, allowed_special="all")
     return _encoders[key]
 
 
@@ -101,6 +104,46 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.array(levels, dtype=np.int64)
 
 
+def fill_by_sums(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_fit, but each bin takes the longest length left and the set of others that fills it best."""
+    bins, offsets, levels = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), []
+    of_length: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths.tolist()):
+        of_length.setdefault(n, []).append(i)
+    left = sorted(of_length, reverse=True)
+    while left:
+        room, taken = size - left[0], [(left[0], 1)]
+        of_first = len(of_length[left[0]]) - 1
+        sums, steps = 1, []  # bit s: lengths tried so far can sum up to s
+        for n in left:
+            if n > room:
+                continue
+            copies, part = min(of_first if n == left[0] else len(of_length[n]), room // n), 1
+            while copies:
+                part = min(part, copies)
+                more = (sums | sums << n * part) & ((1 << room + 1) - 1)
+                if more != sums:
+                    steps.append((n, part, sums))
+                    sums = more
+                copies, part = copies - part, part * 2
+            if sums >> room:
+                break
+        rest = sums.bit_length() - 1
+        for n, part, before in reversed(steps):
+            if not before >> rest & 1:
+                taken.append((n, part))
+                rest -= n * part
+        at = 0
+        for n, part in taken:
+            for _ in range(part):
+                i = of_length[n].pop()
+                bins[i], offsets[i] = len(levels), at
+                at += n
+        levels.append(at)
+        left = [n for n in left if of_length[n]]
+    return bins, offsets, np.array(levels, dtype=np.int64)
+
+
 def least_bins(lengths: np.ndarray, size: int) -> int:
     """A lower bound of the bins needed: the largest over two families of dual-feasible functions.
 
@@ -124,7 +167,7 @@ def least_bins(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def _repack(size: int, round_no: int, last: bool):
+def _repack(size: int, round_no: int):
     """For applyInArrow: pack one pool; rows that shall be packed again come back open."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -132,6 +175,11 @@ def _repack(size: int, round_no: int, last: bool):
         lengths, pool = table.column("length").to_numpy(), table.column("pool")[0].as_py()
         bins, offsets, levels = best_fit(lengths, size)
         n, bound = len(levels), least_bins(lengths, size)
+        if n > bound:
+            other = fill_by_sums(lengths, size)
+            if len(other[2]) < n:
+                bins, offsets, levels = other
+                n = len(levels)
         sequence = (np.int64(round_no) << 57) + (np.int64(pool) << 24) + bins
         before = table.column("sequence_id").to_numpy()
         if round_no and len(np.unique(before)) <= n:  # no gain: as it was
@@ -141,7 +189,7 @@ def _repack(size: int, round_no: int, last: bool):
             n = len(levels)
         # a proved pool still gives its emptiest sequence away: pools' last ones may share
         open_bins = (levels < size) if n > bound else (levels < size) & (np.arange(n) == levels.argmin())
-        again = np.zeros(len(lengths), dtype=bool) if last else open_bins[bins]
+        again = open_bins[bins]
         for name, values in (("sequence_id", sequence), ("offset", offsets), ("open", again)):
             table = table.set_column(table.schema.get_field_index(name), name, pa.array(values))
         return table
@@ -158,21 +206,27 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = 1024, piece
     offset 0 on without gaps. Null and empty texts are documents of one token; every row of
     `docs` is packed, repeated ones and those without a doc_id too; other columns are ignored.
 
-    A partition packs about `pieces` pieces, whatever the size of `docs`.
+    An empty table gives no rows. Texts are tokenized whole, one at a time; of equal lengths the
+    smaller doc_id goes first. A partition packs about `pieces` pieces in every round, whatever
+    the size of `docs` and however badly lengths fit.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     cut = settled(docs.select("doc_id", "text").mapInArrow(_pieces(spark.sparkContext.broadcast(vocabulary), end, size), schema))
     pools = -(-cut.count() // pieces) or 1
     work = cut.withColumns({"pool": F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(pools)), "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "open": F.lit(True)})
-    done, round_no = [], 0
+    done, round_no, before = [], 0, None
     while True:
-        packed = settled(work.groupBy("pool").applyInArrow(_repack(size, round_no, pools == 1), f"{schema}, pool bigint, sequence_id bigint, offset bigint, open boolean"))
-        done.append(packed.where("not open"))
-        work = packed.where("open").withColumn("pool", F.expr(f"pool div {NEIGHBOURS}"))
-        if pools == 1 or work.isEmpty():
+        packed = settled(work.groupBy("pool").applyInArrow(_repack(size, round_no), f"{schema}, pool bigint, sequence_id bigint, offset bigint, open boolean"))
+        # every sequence begins with a piece at 0
+        n_sequences, n_open, open_pieces = packed.agg(*(F.coalesce(F.sum(x.cast("long")), F.lit(0)) for x in (F.col("offset") == 0, F.col("open") & (F.col("offset") == 0), F.col("open")))).first()
+        if pools == 1 or n_open < 2 or before is not None and before - n_sequences < WORTH * before:
+            done.append(packed)
             break
-        pools, round_no = -(-pools // NEIGHBOURS), round_no + 1
+        done.append(packed.where("not open"))
+        pools, round_no, before = -(-open_pieces // pieces), round_no + 1, n_open
+        # whole sequences move, so that a pool that gains nothing can leave them as they are
+        work = packed.where("open").withColumn("pool", F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(pools)))
     out = done[0]
     for x in done[1:]:
         out = out.unionAll(x)

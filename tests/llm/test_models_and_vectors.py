@@ -78,8 +78,7 @@ def test_packing_round_trip(spark, pieces):
 
     content = vocabulary("byte_bpe_50k.json").decode()
     plain = Tokenizer.from_str(content)
-    plain.encode_special_tokens = True
-    rows = texts() + [(70, "<|endoftext|> " * 300), (71, " " * 60_000)] + [(80 + i, "some words " * (50 * i)) for i in range(12)]
+    rows = texts() + [(70, "<|endoftext|> " * 300), (72, "a <|endoftext|> b<|endoftext|>"), (73, "x  <|endoftext|>\n y"), (71, " " * 60_000)] + [(80 + i, "some words " * (50 * i)) for i in range(12)]
     size, out = 1024, pack(documents(spark, rows), content, pieces=pieces).collect()
     want = collections.Counter()
     for i, t in rows:
@@ -99,17 +98,23 @@ def test_packing_round_trip(spark, pieces):
         assert at <= size
     bound = least_bins(np.array([r["length"] for r in out]), size)
     assert bound <= len(sequences) <= bound + 2 + (pieces == 4)
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     assert pack(documents(spark, []), content).count() == 0
 
 
 def test_bounds_and_best_fit():
-    from braidlog.llm.packing import best_fit, least_bins
+    from braidlog.llm.packing import best_fit, fill_by_sums, least_bins
 
     rng = np.random.default_rng(8)
     for _ in range(200):
         lengths = np.sort(rng.integers(1, 101, rng.integers(1, 40)))[::-1]
         bins, offsets, levels = best_fit(lengths, 100)
-        assert levels.max() <= 100 and (np.bincount(bins, weights=lengths) == levels).all()
+        for bins, offsets, levels in ((bins, offsets, levels), fill_by_sums(lengths, 100)):
+            assert levels.max() <= 100 and (np.bincount(bins, weights=lengths) == levels).all()
+            for b in range(len(levels)):
+                own = np.argsort(offsets[bins == b])
+                assert (np.cumsum(lengths[bins == b][own]) - lengths[bins == b][own] == offsets[bins == b][own]).all()
+            assert least_bins(lengths, 100) <= len(levels)
         assert -(-lengths.sum() // 100) <= least_bins(lengths, 100) <= len(levels)
     assert least_bins(np.array([60] * 5), 100) == 5
     assert least_bins(np.array([34] * 9), 100) == 5
