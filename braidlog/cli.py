@@ -18,7 +18,7 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("input_dir")
     m.add_argument("-o", "--output-dir")
     m.add_argument("-l", "--level", type=int, default=19)
-    m.add_argument("-j", "--jobs", type=int, default=1, help="more than 1, or 0: smaller frames, so that more tasks compress at once")
+    m.add_argument("-j", "--jobs", type=int, default=1, help="tasks that compress a day, 0 for one on each core")
     m.add_argument("-D", "--days", type=int, default=1, help="days at once, 0 for as many as there are cores")
     m.add_argument("--before")
     m.add_argument("--check", action="store_true")
@@ -45,8 +45,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         spark = spark or session()
         if args.command == "merge":
-            frame = {} if args.jobs == 1 else {"frame": 4 << 20}
-            report = merge(spark, args.input_dir, args.output_dir, level=args.level, days_at_once=args.days, before=args.before, check=args.check, **frame)
+            report = merge(spark, args.input_dir, args.output_dir, level=args.level, days_at_once=args.days, before=args.before, check=args.check, jobs=args.jobs)
             if not report.days and not report.files:
                 print("merge: nothing to merge")
             if args.check and report.files:

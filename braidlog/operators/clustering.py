@@ -76,20 +76,15 @@ def _kernel(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """A leaf's rows, loaded clusters (seq < 0) first, to assignment intervals and templates."""
         group = group.sort_values(["seq", "loaded_id"], kind="stable")
-        codes: dict[str, int] = {STAR: -1}
-        names: list[str] = []
-        coded = np.empty((len(group), len(group["slots"].iloc[0])), dtype=np.int32)
-        for i, slots in enumerate(group["slots"]):
-            for j, s in enumerate(slots):
-                if s not in codes:
-                    codes[s] = len(names)
-                    names.append(s)
-                coded[i, j] = codes[s]
+        width = len(group["slots"].iloc[0])
+        flat = np.concatenate([np.asarray(x, dtype=object) for x in group["slots"]]) if width else np.empty(0, dtype=object)
+        codes, names = pd.factorize(flat)
+        coded = np.where(flat == STAR, -1, codes).astype(np.int32).reshape(len(group), width)
         leaf = Leaf(coded.shape[1], threshold)
         spawned: list[int] = []
-        seen: list[int] = []  # rows, by place in the group
-        at: list[int] = []  # the cluster each is in now
-        since: list[int] = []
+        # rows seen so far by place in the group, the cluster each is in now, and since when
+        seen, at, since = (np.empty(len(group), dtype=np.int64) for _ in range(3))
+        n_seen = 0
         out: list[tuple[int, int, int, int]] = []  # row, cluster, from, to
         for i, (seq, slots) in enumerate(zip(group["seq"], coded, strict=True)):
             if seq < 0:
@@ -99,18 +94,17 @@ def _kernel(threshold: float):
             cluster, new, changed = leaf.place(slots)
             if new:
                 spawned.append(int(seq))
-            if changed and seen:
+            if changed and n_seen:
                 template = leaf.templates[cluster]
-                later = np.flatnonzero(np.array(at) > cluster)
+                later = np.flatnonzero(at[:n_seen] > cluster)
                 if len(later):
-                    rows = coded[np.array(seen)[later]]
-                    for k in later[((rows == template) | (template < 0)).all(axis=1)]:
-                        out.append((seen[k], at[k], since[k], int(seq)))
-                        at[k], since[k] = cluster, int(seq)
-            seen.append(i)
-            at.append(cluster)
-            since.append(int(seq))
-        out += [(r, c, f, END) for r, c, f in zip(seen, at, since, strict=True)]
+                    rows = coded[seen[later]]
+                    for k in later[((rows == template) | (template < 0)).all(axis=1)].tolist():
+                        out.append((int(seen[k]), int(at[k]), int(since[k]), int(seq)))
+                        at[k], since[k] = cluster, seq
+            seen[n_seen], at[n_seen], since[n_seen] = i, cluster, seq
+            n_seen += 1
+        out += [(r, c, f, END) for r, c, f in zip(*(x[:n_seen].tolist() for x in (seen, at, since)), strict=True)]
         texts = [[STAR if v < 0 else names[v] for v in t] for t in leaf.templates[: leaf.n].tolist()]
         ids = list(group["loaded_id"])
         head = {c: group[c].iloc[0] for c in ("node", "category")}

@@ -14,7 +14,7 @@ from braidlog.functions.names import day_file_name, node_file_name
 from braidlog.operators.merging import ORDER, checked, demultiplexed, digests, keyed, prefixed, renumbered
 from braidlog.operators.sinks import frames, published, stage
 from braidlog.sources.lines import NodeFile, discover, node_lines, scan
-from braidlog.sources.storage import Storage
+from braidlog.sources.storage import Storage, temporary
 
 
 @dataclass
@@ -29,9 +29,9 @@ class MergeReport:
         return all(f[2] for f in self.files)
 
 
-def merged_lines(lines: DataFrame) -> DataFrame:
-    """(date, node, line) with the prefix, in merge order."""
-    return prefixed(keyed(lines)).orderBy(*ORDER)
+def merged_lines(lines: DataFrame, ranges: int) -> DataFrame:
+    """(date, node, line) with the prefix, in merge order over so many partitions of about equal numbers of lines."""
+    return prefixed(keyed(lines)).repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER)
 
 
 def merge(
@@ -43,6 +43,7 @@ def merge(
     days_at_once: int = 1,
     before: str | None = None,
     check: bool = False,
+    jobs: int = 0,
     frame: int | None = None,
     after: Iterable[Callable[[list[str]], None]] = (),
 ) -> MergeReport:
@@ -52,13 +53,16 @@ def merge(
     before that is published; a day that differs keeps its temporary file and is not published,
     and the others are. Without `output` only a check is made. `before` leaves out that day and
     later ones. `after` gets the names of what was published, in turn, unless there is none.
-    An input that cannot be read fails the merge and leaves nothing of its day.
+    An input that cannot be read fails the merge and leaves nothing of its day. `jobs` is the
+    number of tasks that compress a day, 0 for one on each core; contents do not depend on it.
     """
     files = discover(spark, folder)
     if not files:
         raise FileNotFoundError(f"no node files in {folder}")
     if output is None and not check:
         raise ValueError("an output folder is needed unless only a check is asked for")
+    if jobs < 0:
+        raise ValueError(f"jobs must not be negative: {jobs}")
     if not 1 <= level <= 22:
         raise ValueError(f"level must be 1 to 22: {level}")
     chosen = discover(spark, folder, before) if before is not None else files
@@ -76,11 +80,11 @@ def merge(
             return date, False, _rechecked(spark, own, lines, keyed_back(lines))
         target = f"{output}/{day_file_name(date)}"
         options = {} if frame is None else {"frame": frame}
-        staged = stage(frames(merged_lines(lines).select(F.col("date").alias("key"), F.col("merged_line").alias("line")), "zst", level, **options), output)
+        staged = stage(frames(merged_lines(lines, jobs or spark.sparkContext.defaultParallelism).select(F.col("date").alias("key"), F.col("merged_line").alias("line")), "zst", level, **options), output)
         try:
             found: list[tuple[str, str, bool, int]] = []
             if check:
-                trial = f"{target}.trial.zst"  # kept if it differs; its suffix is what readers go by
+                trial = f"{temporary(target)}.zst"  # this run's own, kept if it differs; readers go by its suffix
                 published(spark, staged, date, trial)
                 back = scan(spark, [trial]).select(F.lit(date).alias("date"), "line_no", "line")
                 found = _rechecked(spark, own, lines, back)
@@ -138,7 +142,7 @@ def split(spark: SparkSession, path: str, output: str, *, level: int = 6) -> lis
             if not node or node.startswith(".") or "/" in node:
                 raise ValueError(f"node name is not a file name: {node!r}")
         out = [f"{output}/{node_file_name(date, n)}" for n in nodes]
-        trials = [f"{p}.trial" for p in out]
+        trials = [temporary(p) for p in out]
         try:
             for node, trial in zip(nodes, trials, strict=True):
                 published(spark, staged, node, trial)

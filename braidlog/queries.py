@@ -223,7 +223,7 @@ def _line_queries() -> dict:
         f AS (SELECT file, arg_min(verdict, line_no) AS prefixed, min(line_no) AS decided FROM v WHERE verdict IS NOT NULL GROUP BY file)
         SELECT l.file, l.line_no, CASE WHEN prefixed AND l.line_no >= decided AND instr(text, ' ') > 0 THEN substr(text, instr(text, ' ') + 1) ELSE text END AS text FROM l LEFT JOIN f USING (file)"""
     o = f"WITH o AS ({odd.format(MIXED['duck'])})"
-    escaped = "SELECT doc_id, concat(left(text, 60), chr(1), '\"', chr(92), chr(9)) AS t FROM documents"
+    escaped = "SELECT doc_id, concat(text, chr(1), '\"', chr(92), chr(9)) AS t FROM documents"
     return {
         "timestamp_keys": (lambda s, d: odd_spark(s, d).select("seq", L.timestamp_key(F.col("line")).alias("key"), L.looks_stamped(F.col("line")).alias("loose")), f"{o} SELECT seq, {_key_sql('line')} AS key, regexp_matches(line, '^[0-9]{{4}}-') AS loose FROM o"),
         "parsed_lines": (parse, f'WITH {PARSED} SELECT seq, "timestamp", thread, category, content FROM parsed'),
@@ -280,10 +280,18 @@ def _merge_queries() -> dict:
         report = checked(files.select("date", "node").distinct(), digests(files, "date", "node"), digests(renumbered(back(s, d), "date", "node"), "date", "node"))
         return report.select("date", "node", "ok", "lines")
 
+    def differences(s, d):
+        files = event_files(s, d)
+        spoilt = (F.col("line_no") == 3) & F.expr("(cast(right(date, 1) AS int) + cast(right(node, 1) AS int)) % 3 = 0")
+        read = renumbered(back(s, d), "date", "node").withColumn("line", F.when(spoilt, F.concat("line", F.lit(b"!"))).otherwise(F.col("line")))
+        return checked(files.select("date", "node").distinct(), digests(files, "date", "node"), digests(read, "date", "node")).select("date", "node", "ok", "lines")
+
     return {
         "merge_order": (order, f"WITH {FILES} SELECT date, row_number() OVER (PARTITION BY date ORDER BY merge_key, reader, line_no) AS place, node, line_no, merge_key, node || ' ' || line AS merged_line FROM keyed"),
         "split_counts": (counts, f"WITH {FILES} SELECT date, node, count(*) AS lines, CAST(sum(strlen(line)) AS BIGINT) AS n_bytes FROM files GROUP BY date, node"),
-        "round_trip_check": (check, f"WITH {FILES} SELECT date, node, true AS ok, count(*) AS lines FROM files GROUP BY date, node"),
+        "round_trip_check": (check, f"WITH {FILES}, merged AS (SELECT date, line_no, line, node || ' ' || line AS merged_line FROM files) SELECT date, left(merged_line, instr(merged_line, ' ') - 1) AS node, bool_and(substr(merged_line, instr(merged_line, ' ') + 1) = line) AS ok, count(*) AS lines FROM merged GROUP BY ALL"),
+        # lines that were changed on the way show in their own file alone
+        "round_trip_differences": (differences, f"WITH {FILES}, found AS (SELECT *, CASE WHEN line_no = 3 AND (CAST(right(date, 1) AS INTEGER) + CAST(right(node, 1) AS INTEGER)) % 3 = 0 THEN line || '!' ELSE line END AS back FROM files) SELECT date, node, bool_and(line = back) AS ok, count(*) AS lines FROM found GROUP BY date, node"),
         "round_trip_totals": (lambda s, d: check(s, d).agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n_files")), f"WITH {FILES} SELECT count(*) AS n_ok, count(*) AS n_files FROM (SELECT DISTINCT date, node FROM files)"),
     }
 

@@ -141,9 +141,3 @@ def node_lines(spark: SparkSession, files: list[NodeFile]) -> DataFrame:
     """(date, node, reader, line_no, line) of node files."""
     listing = spark.createDataFrame([(f.name, f.date, f.node, f.reader) for f in files], "file string, date string, node string, reader int")
     return scan(spark, [f.path for f in files]).join(F.broadcast(listing), "file").select("date", "node", "reader", "line_no", "line")
-
-
-def listed(names: DataFrame, column: str = "name") -> DataFrame:
-    """For a table of file names: those of node files with date, node and reader, as discover gives them."""
-    parsed = names.select(F.col(column).alias("name"), node_file(F.col(column)).alias("is")).where(F.col("is").isNotNull())
-    return parsed.select("name", "is.date", "is.node").withColumn("reader", F.row_number().over(Window.partitionBy("date").orderBy("name")) - 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -23,10 +23,6 @@ class Storage:
         fs, where = self._at(path)
         return fs.exists(where)
 
-    def is_dir(self, path: str) -> bool:
-        fs, where = self._at(path)
-        return fs.exists(where) and fs.getFileStatus(where).isDirectory()
-
     def names(self, path: str) -> list[str]:
         """Names of a folder's entries, in byte order; nothing below it."""
         fs, where = self._at(path)
@@ -74,10 +70,14 @@ class Storage:
         if fs.getScheme() == "file":
             os.replace(a.toUri().getPath(), b.toUri().getPath())
             return
-        if fs.exists(b):
-            fs.delete(b, False)
-        if not fs.rename(a, b):
-            raise OSError(f"cannot rename {source} to {target}")
+        self.replace(a, b)
+
+    def replace(self, a, b) -> None:
+        """Rename in one step, over what is there, where the file system can."""
+        options = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getField("OVERWRITE")
+        kinds = self._jvm.java.lang.reflect.Array.newInstance(options.getType(), 1)
+        kinds[0] = options.get(None)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), self._conf).rename(a, b, kinds)
 
     def publish(self, path: str, parts: Iterable[bytes]) -> None:
         """Write beside `path` under a name of this attempt's own, then rename; on failure nothing stays."""
@@ -92,17 +92,3 @@ class Storage:
 
 def temporary(path: str) -> str:
     return f"{path}.{os.getpid()}-{uuid.uuid4().hex[:8]}.tmp"
-
-
-def chunks(data: Iterator[bytes], size: int = 1 << 22) -> Iterator[bytes]:
-    """The same bytes in parts of about `size`."""
-    held: list[bytes] = []
-    total = 0
-    for part in data:
-        held.append(part)
-        total += len(part)
-        if total >= size:
-            yield b"".join(held)
-            held, total = [], 0
-    if held:
-        yield b"".join(held)

@@ -142,3 +142,23 @@ def test_accumulation_is_exactly_once(spark, tmp_path):
     assert total() == 14
     batch = load(spark, state).batch
     assert not fold_batch(spark, state, [str(logs / "debug.log-2.gz")], batch, 4, 0.5) and total() == 14
+
+
+@pytest.mark.parametrize("jobs", [1, 3])
+def test_jobs_do_not_change_contents(spark, tmp_path, jobs):
+    for n in range(2):
+        put(tmp_path / "in", f"debug.log-20260515-n{n}.gz", "".join(f"2026-05-15T00:{i // 60:02d}:{i % 60:02d} line {i} of {n}\n" for i in range(n, 400, 2)).encode())
+    merge(spark, str(tmp_path / "in"), str(tmp_path / f"out{jobs}"), level=1, jobs=jobs, frame=900)
+    lines = unpacked(tmp_path / f"out{jobs}" / "debug.log-20260515.zst").splitlines()
+    assert lines == [f"n{i % 2} 2026-05-15T00:{i // 60:02d}:{i % 60:02d} line {i} of {i % 2}".encode() for i in range(400)]
+    assert sorted(p.name for p in (tmp_path / f"out{jobs}").iterdir() if not p.name.startswith(".")) == ["debug.log-20260515.zst"]
+
+
+def test_replace_takes_the_place_of_a_file(spark, tmp_path):
+    from braidlog.sources.storage import Storage
+
+    (tmp_path / "a").write_text("new")
+    (tmp_path / "b").write_text("old")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    Storage(spark).replace(at(f"file://{tmp_path}/a"), at(f"file://{tmp_path}/b"))
+    assert (tmp_path / "b").read_text() == "new" and not (tmp_path / "a").exists()
