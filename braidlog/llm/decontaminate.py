@@ -127,8 +127,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     A word is hit inside any occurrence of `window` consecutive words of an item (item_id,
     text); an item of fewer words, but not none, has to occur whole. Words are runs of ASCII
     letters, digits and all beyond ASCII, A-Z lower-cased. Null text has no words, nor has
-    an empty one; an empty table of items hits nothing; items without an item_id take no
-    part; repeated rows each get their result; other columns are ignored.
+    an empty one; an empty table of items hits nothing; items without an item_id hit words like
+    any other, but count among no ids; repeated rows each get their result; texts are taken
+    whole; an empty table gives no rows; other columns are ignored.
 
     What goes to every task is a bit set of fixed size. Only fingerprints that pass it are
     dealt out and joined, in a join that adaptive execution can split where a passage is in
@@ -137,8 +138,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     schema, beside = _schema(k, window)
     reach = window - k
     item_prints = settled(
-        items.where(F.col("item_id").isNotNull())
-        .select(F.col("item_id").cast("string").alias("item_id"), "text")
+        items.select(F.col("item_id").cast("string").alias("item_id"), "text")
         .mapInArrow(_fingerprints(["item_id"], k, window, None, None, 0), f"item_id string, n_words bigint, {schema}")
         .select("item_id", F.inline("prints"))
         .groupBy("print", "size", *beside)

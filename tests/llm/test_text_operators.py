@@ -194,12 +194,12 @@ def test_contamination_equals_brute_force(spark):
         w, hit, found = words(t), set(), set()
         for item, text in items:
             v = words(text)
-            if item is None or not v:
+            if not v:
                 continue
             n = min(10, len(v))
             windows = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
             at = [k for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows]
-            found |= {str(item)} if at else set()
+            found |= {str(item)} if at and item is not None else set()
             hit |= {k + j for k in at for j in range(n)}
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     table = spark.createDataFrame([(i, t, 3) for i, t in items], "item_id bigint, text string, n_hit int")
