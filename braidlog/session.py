@@ -38,9 +38,13 @@ def settled(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the cluster's shared checkpoint folder.
 
     Lost executors cost nothing that was settled. Only where spark.checkpoint.dir is unset
-    (tests, a single machine) a folder of this machine is used.
+    (tests, a single machine) a folder of this machine is used; a cluster's executors could not
+    see each other's, so there it is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="braidlog-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="braidlog-"))
     return df.checkpoint(eager=True)
