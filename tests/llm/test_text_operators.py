@@ -1,5 +1,7 @@
 import collections
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -61,10 +63,55 @@ def test_secret_scan_equals_regular_expressions_and_adds_random_tokens(spark):
     spans = {r["doc_id"]: r["spans"] for r in out}
     assert spans[52] == "markov:4:28"
     assert "markov" not in spans[53] and "assign:0:30" in spans[53]
+    clashing = documents(spark, rows).select("doc_id", "text", *(F.lit(1).alias(c) for c in ("text_", "assign_", "hex_", "markov_", "base_")))
+    assert sorted(r["spans"] for r in find_secrets(clashing, train(labelled_sample(spark))).collect()) == sorted(r["spans"] for r in out)
     assert train(spark.createDataFrame([], "token string, is_random boolean")) == [0.0] * len(train(labelled_sample(spark, 20)))
     assert find_secrets(documents(spark, []), [0.0] * 67 * 67).count() == 0
 
 
+def best_runs(token, ratios, per_char, least):
+    from braidlog.llm.secrets import ALPHABET
+
+    n, found, total, most, start, end = len(ALPHABET), set(), 0.0, 0.0, 0, 0
+    for at in range(len(token)):
+        step = ratios[ALPHABET.index(token[at]) * n + ALPHABET.index(token[at + 1])] - per_char if at + 1 < len(token) else -math.inf
+        if total <= 0:
+            start, most, total = at, 0.0, 0.0
+        total += step
+        if total > most:
+            most, end = total, at + 2
+        if total <= 0 and most >= least:
+            while start and token[start - 1] not in "/_=-":
+                start -= 1
+            while end < len(token) and token[end] not in "/_=-":
+                end += 1
+            found.add((start, end))
+    return found
+
+
+def test_random_runs_beside_ordinary_text(spark):
+    from braidlog.llm.secrets import ALPHABET, PARTS, find_secrets, labelled_sample, train
+
+    rng = random.Random(3)
+    wild = lambda k, of=ALPHABET[:62]: "".join(rng.choices(of, k=k))
+    heads = ["", "aws_secret_access_key=", "private_key=", "session_id=", "client_key=", "sk_live_", "user/repo/blob/main/key/"]
+    secret = [h + wild(32) for h in heads for _ in range(60)] + [wild(32, ALPHABET[26:52]) for _ in range(60)]
+    plain = [rng.choice("_-/").join(rng.choices(PARTS, k=6)) for _ in range(300)] + ["_".join(rng.choices(PARTS, k=5)).upper() for _ in range(100)]
+    plain += [f"{rng.choice(PARTS)}/{rng.choice(PARTS)}/2024-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}_{rng.randrange(10**6)}" for _ in range(100)]
+    both = [f"{wild(30)}/{'_'.join(PARTS[:9])}/{wild(30)}", wild(5000, ALPHABET), "a" * 30_000 + "=" + wild(40)]
+    tokens = secret + plain + both
+    ratios = train(labelled_sample(spark))
+    rows = find_secrets(spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string"), ratios).collect()
+    got = {r["doc_id"]: {tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s} for r in rows}
+    only = [i for i, r in enumerate(sorted(rows)) if not r["base_spans"] and len(tokens[i]) >= 20]
+    assert len(only) > 0.95 * len(tokens)
+    assert all(got[i] == best_runs(tokens[i], ratios, 0.5, 16.0) for i in only)
+    caught = [any(b - a >= 24 for a, b in got[i]) for i in range(len(secret))]
+    assert sum(caught) >= 0.95 * len(caught)
+    assert sum(bool(got[i]) for i in range(len(secret), len(secret) + len(plain))) <= 0.01 * len(plain)
+    assert len(got[len(secret) + len(plain)]) == 2
+
+
 def shingles(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
