@@ -4,11 +4,16 @@ Rows are dealt out into shards, each of which gets a ball tree. A query visits a
 in the order of their upper bound q.c + |q| r and stops where the bound falls below its kth
 score so far. Each query first searches one shard, and takes the kth score found there to all
 others, where most leaves are then cut off at once.
+
+Bounds and first scores are floating point, with a slack for their rounding; where products
+can pass 2^53, rows within the slack get their score in whole numbers of any size.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ class BallTree:
         if len(ids):
             self._grow(np.arange(len(ids)), leaf)
             self.center_of, self.radius_of = np.array(self.centers), np.array(self.radii)
+            self.reach = float(np.sqrt((self.x**2).sum(axis=1)).max())
 
     def _grow(self, rows: np.ndarray, leaf: int) -> int:
         own = self.x[rows]
@@ -52,50 +58,71 @@ class BallTree:
             self.children[node] = (self._grow(np.sort(rows[half[:cut]]), leaf), self._grow(np.sort(rows[half[cut:]]), leaf))
         return node
 
-    def search(self, queries: np.ndarray, own_ids: list[int], k: int, least: list[float]):
-        """For each query the best k (score, id) by score, then id, none under its `least` and none with its own id."""
+    def search(self, queries: np.ndarray, own_ids: list[int], k: int, least: list[int | None], power: int = 0):
+        """For each query the best k (score, id) by score, then id, none under its `least` and none with its own id.
+
+        Vectors are whole numbers, or those divided by powers of two, `power` being the sum of the
+        tree's and the queries' exponents. Scores are held to a long's range.
+        """
         if not len(self.ids):
             return [[] for _ in own_ids]
         size = np.sqrt((queries**2).sum(axis=1))
         bounds = queries @ self.center_of.T + size[:, None] * self.radius_of
-        bounds += 1e-9 * size[:, None] * (np.sqrt((self.center_of**2).sum(axis=1)) + self.radius_of) + 1e-6
+        bounds += 1e-9 * size[:, None] * (np.sqrt((self.center_of**2).sum(axis=1)) + self.radius_of) + math.ldexp(1e-6, -power)
+        top = float(np.abs(self.x).max()) * np.abs(queries).max(axis=1) * queries.shape[1]
+        slacks = np.where((top < EXACT) & (power == 0), 0.0, queries.shape[1] * 2.0**-51 * size * self.reach)
         out = []
-        for q, own, kth, bound in zip(queries, own_ids, least, bounds, strict=True):
-            best: list[tuple[float, int]] = []
+        for q, own, kth, bound, slack in zip(queries, own_ids, least, bounds, slacks.tolist(), strict=True):
+            best: list[tuple[int, int]] = []
+            under = _floor(kth, power)
             heap = [(-bound[0], 0)]
-            while heap and -heap[0][0] >= kth:
+            while heap and -heap[0][0] >= under:
                 _, node = heapq.heappop(heap)
                 if self.children[node]:
                     for child in self.children[node]:
-                        if bound[child] >= kth:
+                        if bound[child] >= under:
                             heapq.heappush(heap, (-bound[child], child))
                     continue
                 rows = self.rows[node]
                 scores = self.x[rows] @ q
-                for at in np.flatnonzero(scores >= kth):
+                for at in np.flatnonzero(scores >= under - slack):
                     if (other := int(self.ids[rows[at]])) != own:
-                        best.append((-scores[at], other))
+                        score = int(scores[at]) if not slack else _whole(self.x[rows[at]], q, power)
+                        if kth is None or score >= kth:
+                            best.append((-score, other))
                 if len(best) >= k:
                     best = heapq.nsmallest(k, best)
-                    kth = max(kth, -best[-1][0])
+                    kth = -best[-1][0] if kth is None else max(kth, -best[-1][0])
+                    under = _floor(kth, power)
             out.append([(-s, i) for s, i in heapq.nsmallest(k, best)])
         return out
 
 
-def _plain_search(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own_ids: list[int], k: int):
-    """The same over components too large for exact floating point, in Python's integers."""
-    rows = [(int(i), [int(v) for v in r]) for i, r in zip(ids, x, strict=True)]
-    for q, own in zip(queries, own_ids, strict=True):
-        whole = [int(v) for v in q]
-        scored = ((-min(max(sum(a * b for a, b in zip(whole, r, strict=True)), LONG[0]), LONG[1]), i) for i, r in rows if i != own)
-        yield [(-s, i) for s, i in heapq.nsmallest(k, scored)]
+def _floor(kth: int | None, power: int) -> float:
+    """What a floating-point score or bound has to reach; all below a long's least value tie with it."""
+    if kth is None or kth <= LONG[0]:
+        return -math.inf
+    return math.ldexp(float(kth) if abs(kth) < EXACT else math.nextafter(float(kth), -math.inf), -power)
+
+
+def _whole(x: np.ndarray, q: np.ndarray, power: int) -> int:
+    """The inner product in whole numbers, held to a long's range."""
+    total = sum(Fraction(a) * Fraction(b) for a, b in zip(x.tolist(), q.tolist(), strict=True)) * 2**power
+    return min(max(int(total), LONG[0]), LONG[1])
+
+
+def _scaled_down(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """x over a power of two that keeps squares finite, and its exponent, which is 0 unless x is huge."""
+    top = float(np.abs(x).max()) if x.size else 0.0
+    power = max(0, math.frexp(top)[1] - 400)
+    return np.ldexp(x, -power), power
 
 
 def _searcher(k: int, scale: float):
     """For mapInArrow over rows sorted so that a shard's vectors come before its queries."""
 
     def run(batches):
-        held, tree, where, top = None, None, None, 0.0
+        held, tree, where, power = None, None, None, 0
         for batch in batches:
             shard, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
@@ -114,14 +141,10 @@ def _searcher(k: int, scale: float):
                 if not held:
                     continue
                 if tree is None:
-                    all_ids, all_x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                    top = float(np.abs(all_x).max()) if all_x.size else 0.0
-                    tree = BallTree(all_ids, all_x)
-                if top * (float(np.abs(x).max()) if x.size else 0.0) * max(1, x.shape[1]) < EXACT:
-                    least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
-                    found = tree.search(x, ids.tolist(), k, np.where(np.isnan(least), -np.inf, least).tolist())
-                else:
-                    found = _plain_search(tree.ids, tree.x, x, ids.tolist(), k)
+                    all_x, power = _scaled_down(np.concatenate([h[1] for h in held]))
+                    tree = BallTree(np.concatenate([h[0] for h in held]), all_x)
+                x, own_power = _scaled_down(x)
+                found = tree.search(x, ids.tolist(), k, part.column("least").to_pylist(), power + own_power)
                 rows = [(q, i, int(s)) for q, hits in zip(ids.tolist(), found, strict=True) for s, i in hits]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
@@ -133,7 +156,7 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 64.0, shard_row
 
     A component x counts as floor(scale * x); the score is the integer inner product, held to
     the range of a long; equal scores rank by vec_id. Vectors that are null or hold a null or
-    a non-finite component, or without a vec_id, take no part. Vectors are compared with those
+    a non-finite component (times `scale`), or without a vec_id, take no part. Vectors are compared with those
     of their own dimension. Of rows with one vec_id the least vector counts. With fewer than k
     others a query has them all; an empty table gives no rows. Other columns are ignored.
 
@@ -143,7 +166,7 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 64.0, shard_row
     good = (
         vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-        .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+        .where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) * scale < float("inf"))))
         .groupBy("vec_id")
         .agg(F.min("embedding").alias("embedding"))
     )
@@ -151,7 +174,7 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 64.0, shard_row
     shards = max(1, -(-good.count() // shard_rows))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
     # vectors of another dimension have shards of their own
-    placed = good.select((F.col("dims").cast("long") * shards + home).alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast("double").alias("least"), "dims")
+    placed = good.select((F.col("dims").cast("long") * shards + home).alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast("long").alias("least"), "dims")
     queries = good.where(F.pmod("vec_id", F.lit(every)) == 0)
     columns = ["shard", "kind", "vec_id", "embedding", "least"]
 
@@ -160,10 +183,10 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 64.0, shard_row
         return both.mapInArrow(_searcher(k, scale), "query_id bigint, vec_id bigint, score bigint")
 
     at_home = F.col("dims").cast("long") * shards + home
-    first = settled(searched(queries.select(at_home.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding", F.lit(None).cast("double").alias("least"))))
+    first = settled(searched(queries.select(at_home.alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding", F.lit(None).cast("long").alias("least"))))
     out = first
     if shards > 1:
-        kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
+        kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
         away = (
             queries.join(kth, "vec_id", "left")
             .withColumn("home", home)

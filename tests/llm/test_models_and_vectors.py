@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 import zlib
@@ -38,6 +39,17 @@ def test_top_k_beyond_exact_floats(spark):
     out = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 20, 3).collect()
     # all scores are beyond a long, so they tie at its end
     assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])] == [(i, (1 << 63) - 1) for i in (1, 2, 3)]
+    rng = np.random.default_rng(4)
+    for power in (23, 26, 40, 600):
+        # beyond 2^53 scores that differ by little, and by rounding alone; 2^600 would overflow squares
+        rows = [(i, [float(v) * 2.0**power for v in rng.integers(-9, 9, 5)] + [float(rng.integers(-3, 3)), 1.0]) for i in range(300)]
+        whole = {i: [math.floor(64 * v) for v in x] for i, x in rows}
+        want = []
+        for q in range(0, 300, 20):
+            scores = {i: min(max(sum(a * b for a, b in zip(whole[q], x, strict=True)), -(1 << 63)), (1 << 63) - 1) for i, x in whole.items() if i != q}
+            want += [(q, i, -s) for s, i in sorted((-s, i) for i, s in scores.items())[:20]]
+        got = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 20, 20, shard_rows=120).collect()
+        assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == sorted(want)
 
 
 def vocabulary(name):
