@@ -11,7 +11,6 @@ can pass 2^53, rows within the slack get their score in whole numbers of any siz
 
 from __future__ import annotations
 
-import heapq
 import math
 from fractions import Fraction
 
@@ -58,51 +57,65 @@ class BallTree:
             self.children[node] = (self._grow(np.sort(rows[half[:cut]]), leaf), self._grow(np.sort(rows[half[cut:]]), leaf))
         return node
 
-    def search(self, queries: np.ndarray, own_ids: list[int], k: int, least: list[int | None], power: int = 0):
-        """For each query the best k (score, id) by score, then id, none under its `least` and none with its own id.
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int, least: np.ndarray, power: int = 0):
+        """(query, id, score) of each query's best k by score, then id, none under its `least` and none with its own id.
 
-        Vectors are whole numbers, or those divided by powers of two, `power` being the sum of the
-        tree's and the queries' exponents. Scores are held to a long's range.
+        All queries go on together: at each turn each one is at the leaf with its next highest
+        bound, unless that is under its kth score, and those at one leaf are scored in one
+        product. Vectors are whole numbers, or those divided by powers of two, `power` being the
+        sum of the tree's and the queries' exponents. Scores are held to a long's range, whose
+        least value as `least` stands for none.
         """
-        if not len(self.ids):
-            return [[] for _ in own_ids]
         size = np.sqrt((queries**2).sum(axis=1))
         bounds = queries @ self.center_of.T + size[:, None] * self.radius_of
         bounds += 1e-9 * size[:, None] * (np.sqrt((self.center_of**2).sum(axis=1)) + self.radius_of) + math.ldexp(1e-6, -power)
+        for node, children in enumerate(self.children):
+            for child in children:
+                np.minimum(bounds[:, child], bounds[:, node], out=bounds[:, child])
+        leaves = np.array([node for node, children in enumerate(self.children) if not children])
+        turns = leaves[np.argsort(-bounds[:, leaves], axis=1, kind="stable")]
         top = float(np.abs(self.x).max()) * np.abs(queries).max(axis=1) * queries.shape[1]
-        slacks = np.where((top < EXACT) & (power == 0), 0.0, queries.shape[1] * 2.0**-51 * size * self.reach)
-        out = []
-        for q, own, kth, bound, slack in zip(queries, own_ids, least, bounds, slacks.tolist(), strict=True):
-            best: list[tuple[int, int]] = []
-            under = _floor(kth, power)
-            heap = [(-bound[0], 0)]
-            while heap and -heap[0][0] >= under:
-                _, node = heapq.heappop(heap)
-                if self.children[node]:
-                    for child in self.children[node]:
-                        if bound[child] >= under:
-                            heapq.heappush(heap, (-bound[child], child))
+        slack = np.where((top < EXACT) & (power == 0), 0.0, queries.shape[1] * 2.0**-51 * size * self.reach)
+        kth, under = least.astype(np.int64), _floor(least, power)
+        ids, scores = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64)
+        held = np.zeros((len(queries), k), bool)
+        active = np.arange(len(queries))
+        for turn in range(len(leaves)):
+            at = turns[active, turn]
+            going = bounds[active, at] >= under[active]
+            active, at = active[going], at[going]
+            if not len(active):
+                break
+            for leaf in np.unique(at):
+                group, rows = active[at == leaf], self.rows[leaf]
+                near = queries[group] @ self.x[rows].T
+                good = (near >= (under - slack)[group, None]) & (self.ids[rows] != own_ids[group, None])
+                some = good.any(axis=1)
+                if not some.any():
                     continue
-                rows = self.rows[node]
-                scores = self.x[rows] @ q
-                for at in np.flatnonzero(scores >= under - slack):
-                    if (other := int(self.ids[rows[at]])) != own:
-                        score = int(scores[at]) if not slack else _whole(self.x[rows[at]], q, power)
-                        if kth is None or score >= kth:
-                            best.append((-score, other))
-                if len(best) >= k:
-                    best = heapq.nsmallest(k, best)
-                    kth = -best[-1][0] if kth is None else max(kth, -best[-1][0])
-                    under = _floor(kth, power)
-            out.append([(-s, i) for s, i in heapq.nsmallest(k, best)])
-        return out
-
-
-def _floor(kth: int | None, power: int) -> float:
-    """What a floating-point score or bound has to reach; all below a long's least value tie with it."""
-    if kth is None or kth <= LONG[0]:
-        return -math.inf
-    return math.ldexp(float(kth) if abs(kth) < EXACT else math.nextafter(float(kth), -math.inf), -power)
+                group, near, good = group[some], near[some], good[some]
+                whole = np.zeros(near.shape, np.int64)
+                exact = good & (slack[group] == 0)[:, None]
+                whole[exact] = near[exact]
+                for i, j in np.argwhere(good & ~exact):
+                    whole[i, j] = _whole(self.x[rows[j]], queries[group[i]], power)
+                good &= whole >= kth[group, None]
+                every_id = np.hstack([ids[group], np.broadcast_to(self.ids[rows], near.shape)])
+                every_score, every_held = np.hstack([scores[group], whole]), np.hstack([held[group], good])
+                best = np.lexsort((every_id, ~every_score, ~every_held), axis=1)[:, :k]
+                ids[group], scores[group], held[group] = (np.take_along_axis(x, best, axis=1) for x in (every_id, every_score, every_held))
+                full = group[held[group, k - 1]]
+                kth[full] = np.maximum(kth[full], scores[full, k - 1])
+                under[full] = _floor(kth[full], power)
+        query, place = np.nonzero(held)
+        return own_ids[query], ids[query, place], scores[query, place]
+
+
+def _floor(kth: np.ndarray, power: int) -> np.ndarray:
+    """What floating-point scores and bounds have to reach; all below a long's least value tie with it."""
+    near = kth.astype(np.float64)
+    near = np.where(np.abs(near) < EXACT, near, np.nextafter(near, -np.inf))
+    return np.where(kth <= LONG[0], -np.inf, np.ldexp(near, -power))
 
 
 def _whole(x: np.ndarray, q: np.ndarray, power: int) -> int:
@@ -144,9 +157,9 @@ def _searcher(k: int, scale: float):
                     all_x, power = _scaled_down(np.concatenate([h[1] for h in held]))
                     tree = BallTree(np.concatenate([h[0] for h in held]), all_x)
                 x, own_power = _scaled_down(x)
-                found = tree.search(x, ids.tolist(), k, part.column("least").to_pylist(), power + own_power)
-                rows = [(q, i, int(s)) for q, hits in zip(ids.tolist(), found, strict=True) for s, i in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+                least = part.column("least").fill_null(LONG[0]).to_numpy()
+                found = tree.search(x, ids, k, least, power + own_power)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
