@@ -176,11 +176,22 @@ def _bit_set(values: str, word: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), add)
 
 
+def _crowded(placed: DataFrame, own: DataFrame) -> DataFrame:
+    """(cluster): those whose buckets have more pairs of sets to compare than the cluster's sets (`own`) have shingles."""
+    pairs = placed.groupBy("cluster", "bucket").agg((F.count("*") * F.count_if(F.col("root") != F.col("cluster"))).alias("pairs")).groupBy("cluster").agg(F.sum("pairs").alias("pairs"))
+    held = own.groupBy("cluster").agg(F.sum(F.size("shingles")).alias("held"))
+    return settled(pairs.join(held, "cluster").where("pairs > held").select("cluster"))
+
+
 def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the components that links within buckets of `placed` (see _open) join; none of its links is missed.
 
-    That is without comparing all pairs of a bucket. Buckets with one main component make a
-    cluster, and a shingle is rare if at most RARE sets of its cluster hold it. Two sets that
+    Buckets with one main component make a cluster. Of most clusters, whose buckets have no more
+    pairs than their sets have shingles, all pairs are taken: sets that meet by chance are in many
+    such clusters, and to list their shingles in each would be more work than the pairs are.
+
+    The others, the crowded ones, do without comparing all pairs of a bucket. A shingle is
+    rare if at most RARE sets of its cluster hold it. Two sets that
     share s rare shingles share at most s + min(c_a, c_b) in all, c being how many of a set's
     are not rare. Pairs with s > 0 come from joining rare shingles, which makes few pairs for
     each. Those with s = 0 have to pass the bound by their sizes t and c alone: sets are put
@@ -204,7 +215,10 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("cluster", "node", "root", "t", "apart", F.size("apart").cast("long").alias("d"), *(_bit_set("apart", i).alias(f"bits{i}") for i in range(4)))
         .withColumn("alike", F.col("d") - sum(F.bit_count(f"bits{i}") for i in range(4)))
     )
-    each = own.select("cluster", "node", F.explode("shingles").alias("shingle"))
+    crowded = _crowded(placed, own)
+    # by a key of its own: dealt out by the cluster, all of its shingles would be counted in one task
+    listed = dealt_anew(own.withColumn("key", F.col("cluster")), "key").join(crowded.withColumnRenamed("cluster", "key"), "key", "left_semi")
+    each = listed.select("cluster", "node", F.explode("shingles").alias("shingle"))
     seldom = each.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
     rare = settled(each.join(dealt_anew(seldom, "shingle"), ["cluster", "shingle"]))
     bin_of = lambda x: F.floor(F.log(x) / float(np.log(1.01)))
@@ -214,6 +228,8 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .withColumn("c", F.col("t") - F.coalesce("u", F.lit(0)))
         .withColumns({"t_bin": bin_of(F.col("t")), "c_bin": F.when(F.col("c") > 0, bin_of(F.col("c"))).otherwise(-1)})
         .drop("u")
+        .join(dealt_anew(crowded, "cluster").withColumn("crowded", F.lit(True)), "cluster", "left")
+        .withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     )
     can = lambda s: (100 + percent) * (F.least("c", "other_c") + s) >= percent * (F.col("t") + F.col("other_t"))
     other = lambda df: df.select(*(F.col(x) if x in ("cluster", "shingle", "block", "bucket") else F.col(x).alias(f"other_{x}") for x in df.columns))
@@ -227,7 +243,7 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     same_bits = sum(F.bit_count(F.col(f"bits{i}").bitwiseAND(F.col(f"other_bits{i}"))) for i in range(4))
     may = linked(same_bits + F.least("alike", "other_alike"), "t", "d", "other_t", "other_d")
 
-    holders = rare.where("n > 1").select("cluster", "shingle", "node").join(known.drop("t_bin", "c_bin"), ["cluster", "node"])
+    holders = rare.where("n > 1").select("cluster", "shingle", "node").join(known.drop("t_bin", "c_bin", "crowded"), ["cluster", "node"])
     by_rare = (
         holders.join(other(holders), ["cluster", "shingle"])
         .where(F.expr("node < other_node and root <> other_root") & may)
@@ -237,9 +253,9 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("cluster", "a", "b")
     )
 
-    # a set whose rare shingles are too many has no partner without sharing some
+    # a set whose rare shingles are too many has no partner without sharing some; beside the crowded clusters none is rare
     fit = known.where(100 * F.col("c") >= percent * F.col("t"))
-    cells = fit.groupBy("cluster", "t_bin", "c_bin").agg(F.min("t").alias("t"), F.max("c").alias("c"), F.min("root").alias("root"), F.max("root").alias("last_root"))
+    cells = fit.where("crowded").groupBy("cluster", "t_bin", "c_bin").agg(F.min("t").alias("t"), F.max("c").alias("c"), F.min("root").alias("root"), F.max("root").alias("last_root"))
     # sets of one link differ by the share `percent` in size at most: they are in neighbouring blocks
     width = int(np.ceil(np.log(100 / percent) / np.log(1.01))) + 2
     block = F.floor(F.col("t_bin") / width)
@@ -251,15 +267,17 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     here = settled(placed.select("bucket", "cluster", "node", (F.col("root") != F.col("cluster")).alias("minor")).join(dealt_anew(fit, "node"), ["cluster", "node"]))
     asked = other(here.drop("cluster"))
-    by_size = (
-        here.where("minor")
-        .join(dealt_anew(passing, "t_bin"), ["cluster", "t_bin", "c_bin"])
-        .join(asked, ["bucket", "other_t_bin", "other_c_bin"])
-        .where(can(F.lit(0)) & may & F.expr("root <> other_root and (not other_minor or node < other_node)"))
-        .select("cluster", F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
-    )
+    asking = here.where("minor")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return pairs.where(can(F.lit(0)) & may & F.expr("root <> other_root and (not other_minor or node < other_node)")).select(
+            "cluster", F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")
+        )
+
+    by_size = compared(asking.join(dealt_anew(passing, "t_bin"), ["cluster", "t_bin", "c_bin"]).join(asked, ["bucket", "other_t_bin", "other_c_bin"]))
+    whole = compared(asking.where("not crowded").join(asked.where("not other_crowded"), "bucket"))
     side = lambda end: apart.select("cluster", F.col("node").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in ("root", "t", "d", "apart")))
-    both = by_rare.unionAll(by_size).distinct().join(side("a"), ["cluster", "a"]).join(side("b"), ["cluster", "b"])
+    both = by_rare.unionAll(by_size).unionAll(whole).distinct().join(side("a"), ["cluster", "a"]).join(side("b"), ["cluster", "b"])
     same = F.size(F.array_intersect("apart_a", "apart_b")).cast("long")
     return both.where(linked(same, "t_a", "d_a", "t_b", "d_b")).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 

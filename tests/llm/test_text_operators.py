@@ -214,6 +214,54 @@ def test_pairs_beside_the_hubs(spark):
     assert len({frozenset((r["node"], r["hub"])) for r in _all_pairs(few).collect()}) == 10
 
 
+def rows_exploded(spark, since):
+    """Rows that Generate made in all executions with ids above `since`, and the last id."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        last = max(last, of := executions.apply(i).executionId())
+        if of > since:
+            values, nodes = store.executionMetrics(of), store.planGraph(of).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                for metric in (node.metrics().apply(k) for k in range(node.metrics().size() if node.name() == "Generate" else 0)):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        made += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return made, last
+
+
+def test_shingles_are_listed_in_crowded_clusters_only(spark):
+    """20 sets of 2,000 shingles that meet in 12 clusters, and a crowded one of 300 of 60: all links, and few rows."""
+    from braidlog.llm.near_dedup import _left_out
+
+    rng = random.Random(8)
+    draw = lambda: rng.getrandbits(62)
+    base, sets, placed = [draw() for _ in range(2000)], {}, []
+    for share in [0.05, 0.15] * 10:
+        sets[draw()] = {x if rng.random() > share else draw() for x in base}
+    few = list(sets)
+    for bucket in range(12):
+        placed += [(bucket, x, 9, x, few[bucket]) for x in {few[bucket], *rng.sample(few, 8)}]
+    base = [draw() for _ in range(60)]
+    for _ in range(300):
+        share = rng.choice([0.05, 0.1, 0.2, 0.4])
+        sets[draw()] = {x if rng.random() > share else (draw() if rng.random() < 0.5 else rng.randrange(90)) for x in base}
+    many = list(sets)[20:]
+    placed += [(99, x, 300, x, many[0]) for x in many]
+    meet = collections.defaultdict(set)
+    for bucket, x, *_ in placed:
+        meet[bucket].add(x)
+    alike = {(x, y) for of in meet.values() for x in of for y in of if x < y and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+    assert len([p for p in alike if p[0] in few]) > 10 and len([p for p in alike if p[0] in many]) > 100
+    table = spark.createDataFrame([(x, list(s)) for x, s in sets.items()], "node bigint, shingles array<bigint>")
+    _, last = rows_exploded(spark, -1)
+    frame = spark.createDataFrame(placed, "bucket bigint, node bigint, company bigint, root bigint, main bigint")
+    got = [tuple(sorted((r["a"], r["b"]))) for r in _left_out(frame, table, 80).collect()]
+    assert len(got) == len(set(got)) and set(got) == alike
+    made, now = rows_exploded(spark, last)
+    assert now > last and 300 * 50 < made < 3 * 300 * 60
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
