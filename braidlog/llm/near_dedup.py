@@ -191,7 +191,7 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     such clusters, and to list their shingles in each would be more work than the pairs are.
 
     The others, the crowded ones, do without comparing all pairs of a bucket. A shingle is
-    rare if at most RARE sets of its cluster hold it. Two sets that
+    rare if at most RARE sets of its cluster hold it and its center does not (see below). Two sets that
     share s rare shingles share at most s + min(c_a, c_b) in all, c being how many of a set's
     are not rare. Pairs with s > 0 come from joining rare shingles, which makes few pairs for
     each. Those with s = 0 have to pass the bound by their sizes t and c alone: sets are put
@@ -211,19 +211,19 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lacks, beyond = F.array_except("center", "shingles"), F.array_except("shingles", "center")
     apart = settled(
         own.join(dealt_anew(center, "cluster"), "cluster")
-        .select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"), F.concat(lacks, beyond).alias("apart"))
-        .select("cluster", "node", "root", "t", "apart", F.size("apart").cast("long").alias("d"), *(_bit_set("apart", i).alias(f"bits{i}") for i in range(4)))
+        .select("cluster", "node", "root", F.size("shingles").cast("long").alias("t"), F.concat(lacks, beyond).alias("apart"), beyond.alias("beyond"))
+        .select("cluster", "node", "root", "t", "apart", "beyond", F.size("apart").cast("long").alias("d"), *(_bit_set("apart", i).alias(f"bits{i}") for i in range(4)))
         .withColumn("alike", F.col("d") - sum(F.bit_count(f"bits{i}") for i in range(4)))
     )
     crowded = _crowded(placed, own)
     # by a key of its own: dealt out by the cluster, all of its shingles would be counted in one task
-    listed = dealt_anew(own.withColumn("key", F.col("cluster")), "key").join(crowded.withColumnRenamed("cluster", "key"), "key", "left_semi")
-    each = listed.select("cluster", "node", F.explode("shingles").alias("shingle"))
+    listed = dealt_anew(apart.withColumn("key", F.col("cluster")), "key").join(crowded.withColumnRenamed("cluster", "key"), "key", "left_semi")
+    each = listed.select("cluster", "node", F.explode("beyond").alias("shingle"))
     seldom = each.groupBy("cluster", "shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
     rare = settled(each.join(dealt_anew(seldom, "shingle"), ["cluster", "shingle"]))
     bin_of = lambda x: F.floor(F.log(x) / float(np.log(1.01)))
     known = settled(
-        apart.drop("apart")
+        apart.drop("apart", "beyond")
         .join(rare.groupBy("cluster", "node").agg(F.count("*").alias("u")), ["cluster", "node"], "left")
         .withColumn("c", F.col("t") - F.coalesce("u", F.lit(0)))
         .withColumns({"t_bin": bin_of(F.col("t")), "c_bin": F.when(F.col("c") > 0, bin_of(F.col("c"))).otherwise(-1)})

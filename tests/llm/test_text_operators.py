@@ -259,7 +259,7 @@ def test_shingles_are_listed_in_crowded_clusters_only(spark):
     got = [tuple(sorted((r["a"], r["b"]))) for r in _left_out(frame, table, 80).collect()]
     assert len(got) == len(set(got)) and set(got) == alike
     made, now = rows_exploded(spark, last)
-    assert now > last and 300 * 50 < made < 3 * 300 * 60
+    assert now > last and 0 < made < 300 * 60
 
 
 def words(text):
