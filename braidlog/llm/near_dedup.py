@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidlog.llm.components import components
+from braidlog.llm.shingles import nodes_of, set_keys, sets_of, sets_of_nodes, with_components
 from braidlog.llm.tables import dealt_anew, settled
-from braidlog.llm.words import NOT_BLANK, U64, Texts, constants, grams, lists, mix, over_slices
+from braidlog.llm.words import U64, constants, lists, mix, over_slices
+from braidlog.session import ship
 
 BANDS, ROWS = 64, 6
 #: Buckets of so many sets are compared whole; in larger ones a hub is compared first.
@@ -31,23 +33,6 @@ RARE = 8
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, end to end, and how many each has."""
-    words = Texts(batch.column("text"), NOT_BLANK)
-    g, bounds = grams(words.w, shingle), words.bounds
-    out, counts = [], np.zeros(batch.num_rows, dtype=np.int64)
-    for i, n in enumerate(words.counts):
-        if not n:
-            continue
-        a = bounds[i]
-        own = np.sort(g[a : a + n - shingle + 1]) if n >= shingle else grams(words.w[a : a + n], int(n))
-        if len(own) > 1:
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-        out.append(own)
-        counts[i] = len(own)
-    return (np.concatenate(out) if out else np.empty(0, dtype=U64)), counts
-
-
 def _signatures(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
     """Densified one-permutation MinHash of each non-empty set: rows of `bins` values."""
     n = len(counts)
@@ -73,13 +58,6 @@ def _bands(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix((parts * constants(rows, 7)).sum(axis=2, dtype=U64) + constants(bands, 8))
 
 
-def _keys(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set."""
-    keys = np.zeros(len(counts), dtype=U64)
-    np.add.at(keys, np.repeat(np.arange(len(counts)), counts), mix(values ^ U64(0x5851F42D4C957F2D)))
-    return mix(keys + counts.astype(U64))
-
-
 def _sketch(shingle: int, bands: int, rows: int):
     """A kernel: per row n_shingles, the key of its set, and its bands.
 
@@ -87,8 +65,8 @@ def _sketch(shingle: int, bands: int, rows: int):
     """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, counts = _sets(batch, shingle)
-        keys = _keys(values, counts)
+        values, counts = sets_of(batch, shingle)
+        keys = set_keys(values, counts)
         alone = (counts == 0) | np.asarray(batch.column("doc_id").is_null())
         some = np.flatnonzero(~alone)
         lead = np.sort(some[np.unique(keys[some], return_index=True)[1]])
@@ -107,17 +85,6 @@ def _sketch(shingle: int, bands: int, rows: int):
     return over_slices(kernel)
 
 
-def _checked_shingles(shingle: int):
-    """A kernel: the sets of the texts whose set has the key `node`."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, counts = _sets(batch, shingle)
-        out = pa.RecordBatch.from_arrays([batch.column("node"), lists(pa.array(values.view(np.int64)), counts)], names=["node", "shingles"])
-        return out.filter(pa.array(_keys(values, counts).view(np.int64) == batch.column("node").to_numpy(zero_copy_only=False)))
-
-    return over_slices(kernel)
-
-
 def _members(sketch: DataFrame) -> DataFrame:
     """(bucket, node, n), distinct, of the buckets of two sets or more; n is the bucket's size."""
     members = sketch.select("node", F.explode("bands").alias("bucket"))
@@ -205,8 +172,7 @@ def _left_out(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     placed = placed.withColumnRenamed("main", "cluster")
     of_node = placed.groupBy("cluster", "node", "root").agg(F.max("company").alias("company"))
-    # a row that is repeated gives its set again
-    own = settled(sets.join(dealt_anew(of_node, "node"), "node").groupBy("cluster", "node", "root", "company").agg(F.first("shingles").alias("shingles")))
+    own = settled(sets.join(dealt_anew(of_node, "node"), "node").select("cluster", "node", "root", "company", "shingles"))
     center = own.where("root = cluster").groupBy("cluster").agg(F.max_by("shingles", F.struct("company", "node")).alias("center"))
     lacks, beyond = F.array_except("center", "shingles"), F.array_except("shingles", "center")
     apart = settled(
@@ -305,19 +271,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Rows with equal sets are one node throughout, so thousands of copies cost one.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
     sketch = settled(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id bigint, row_hash bigint, n_shingles bigint, node bigint, bands array<bigint>"))
-    nodes = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
+    nodes = nodes_of(sketch)
     members = _members(sketch)
     large = _with_company(members.where(F.col("n") > SMALL))
     edges = settled(_met(_all_pairs(members.where(F.col("n") <= SMALL)).unionAll(_stars(large))))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = ends.join(nodes, "node").select("node", F.col("least_id").alias("doc_id"))
-    sets = settled(
-        docs.join(chosen, "doc_id")
-        .select("node", "text")
-        .mapInArrow(_checked_shingles(shingle), "node bigint, shingles array<bigint>")
-    )
+    sets = settled(sets_of_nodes(docs, nodes.join(ends, "node"), shingle))
     roots = components(_linked(edges, sets, percent))
     placed = _open(large, roots)
     if not placed.isEmpty():
@@ -327,11 +289,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             new = settled(components(joins).select(F.col("node").alias("root"), F.col("root").alias("new_root")))
             alone = new.join(roots, new["root"] == roots["node"], "left_anti").select(F.col("root").alias("node"), F.col("new_root").alias("root"))
             roots = roots.join(dealt_anew(new, "root"), "root", "left").select("node", F.coalesce("new_root", "root").alias("root")).unionAll(alone)
-    least = nodes.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_node = nodes.join(roots.join(dealt_anew(least, "root"), "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
-    return (
-        sketch.select("doc_id", "row_hash", "n_shingles", "node")
-        .join(dealt_anew(of_node, "node"), "node", "left")
-        .select("doc_id", "row_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    return with_components(sketch, nodes, roots).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

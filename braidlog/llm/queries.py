@@ -95,6 +95,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(5, 0), "score", "predicted")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -106,8 +112,37 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_ngram_join": op11_ngram_join,
 }
 
+def _links_sql(shingle: int, percent: int, columns: str) -> str:
+    """Components of documents by links of their shingle sets, over all pairs that share a shingle."""
+    return rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) < {shingle} THEN CASE WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END
+                   ELSE list_distinct(list_transform(range(1, len(w) - {shingle - 2}), lambda i: array_to_string(w[i : i + {shingle - 1}], ' '))) END AS s FROM words
+        ), shingles AS (
+            SELECT doc_id, unnest(s) AS shingle FROM sets
+        ), both_in AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+            FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM both_in JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * common >= {percent} * (len(x.s) + len(y.s) - common)
+        ), edges AS (
+            SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT doc_id, doc_id FROM sets
+        ), reach AS (
+            SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+        ), least AS (
+            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, {columns} FROM sets JOIN least USING (doc_id)
+    """
+
+
 ORACLES = {
     "op1_line_dedup": r"""
         WITH parts AS (
@@ -135,29 +170,8 @@ ORACLES = {
         SELECT query_id, CAST(row_number() OVER best AS INTEGER) AS rank, vec_id, score FROM scored
         WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 20
     """,
-    "op4_near_dedup": r"""
-        WITH RECURSIVE words AS (
-            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-            FROM documents
-        ), sets AS (
-            SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words
-        ), shingles AS (
-            SELECT doc_id, unnest(s) AS shingle FROM sets
-        ), both_in AS (
-            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
-            FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL
-        ), links AS (
-            SELECT a, b FROM both_in JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
-            WHERE 100 * common >= 80 * (len(x.s) + len(y.s) - common)
-        ), edges AS (
-            SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT doc_id, doc_id FROM sets
-        ), reach AS (
-            SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
-        ), least AS (
-            SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
-        )
-        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
-    """,
+    "op4_near_dedup": _links_sql(2, 80, "component_id, doc_id = component_id AS kept"),
+    "op11_ngram_join": _links_sql(4, 85, "component_id"),
     "op7_decontamination": r"""
         WITH doc_words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

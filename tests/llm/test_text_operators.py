@@ -117,6 +117,20 @@ def shingles(text, n):
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
+def test_near_duplicates_take_a_set_once_however_often_its_row_is_repeated(spark):
+    from braidlog.llm.near_dedup import _sketch, near_duplicates
+    from braidlog.llm.shingles import nodes_of, sets_of_nodes
+
+    base = [f"w{i}" for i in range(200)]
+    other = [*base[:100], "changed", *base[101:]]
+    rows = [(1, " ".join(base))] * 2000 + [(2, " ".join(other))] * 2000
+    docs = documents(spark, rows)
+    out = near_duplicates(docs, shingle=2).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in out) == [(1, 1, True, 2000), (2, 1, False, 2000)]
+    sketch = docs.withColumn("row_hash", F.xxhash64("text")).mapInArrow(_sketch(2, 64, 6), "doc_id bigint, row_hash bigint, n_shingles bigint, node bigint, bands array<bigint>")
+    assert sets_of_nodes(docs, nodes_of(sketch), 2).count() == 2
+
+
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_duplicates_equal_all_pairs(spark, n):
     import random
