@@ -101,6 +101,13 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.merkle import manifest
+
+    tampered = F.when(fold(F.col("doc_id"), 3) == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return manifest(table(spark, sf_dir, "documents"), tampered).drop("proof")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -113,6 +120,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_ngram_join": op11_ngram_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def _links_sql(shingle: int, percent: int, columns: str) -> str:
@@ -143,6 +151,52 @@ def _links_sql(shingle: int, percent: int, columns: str) -> str:
     """
 
 
+def _manifest_sql() -> str:
+    leaf = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _crc32_sql("CAST(doc_id AS VARCHAR)")
+    step = "SELECT tree, level + 1 AS level, place // 8 AS place, (n + 7) // 8 AS n, sha256(string_agg(digest, '' ORDER BY place)) AS digest FROM {0} WHERE n > 1 GROUP BY tree, level, place // 8, n"
+    steps = """
+        SELECT o.{0}, s.level, coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < o.place // (8 ** s.level)::BIGINT), '') AS "left", coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > o.place // (8 ** s.level)::BIGINT), '') AS "right"
+        FROM {1} o JOIN {2} s ON o.tree = s.tree AND s.n > 1 AND s.place // 8 = o.place // (8 ** s.level)::BIGINT // 8 GROUP BY ALL"""
+    return rf"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf.format(text="text")} AS leaf, CASE WHEN {crc} % 3 = 0 AND text IS NOT NULL THEN {leaf.format(text=lowered)} END AS other FROM documents
+        ), placed AS (
+            SELECT *, row_number() OVER () AS id FROM (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM leaves)
+        ), nodes AS (
+            SELECT tree, 0 AS level, place, n, leaf AS digest FROM placed UNION ALL {step.format("nodes")}
+        ), langs AS (
+            SELECT tree AS of, '2' AS tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ), top AS (
+            SELECT tree, 0 AS level, place, n, subroot AS digest FROM langs UNION ALL {step.format("top")}
+        ), root AS (
+            SELECT digest AS root FROM top WHERE n = 1
+        ), low_steps AS ({steps.format("id", "placed", "nodes")}
+        ), top_steps AS ({steps.format("of", "langs", "top")}
+        ), steps AS (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY high, level) AS k
+            FROM (SELECT id, 0 AS high, level, "left", "right" FROM low_steps UNION ALL SELECT id, 1, level, "left", "right" FROM placed p JOIN top_steps t ON p.tree = t.of)
+        ), folded AS (
+            SELECT id, 0 AS k, coalesce(other, leaf) AS acc FROM placed
+            UNION ALL SELECT f.id, s.k, sha256(s."left" || f.acc || s."right") FROM folded f JOIN steps s ON s.id = f.id AND s.k = f.k + 1
+        ), proofs AS (
+            SELECT p.id, sha256(coalesce(string_agg(s."left" || s."right", '' ORDER BY s.k), '')) AS proof_sha256 FROM placed p LEFT JOIN steps s USING (id) GROUP BY p.id
+        ), ends AS (
+            SELECT id, arg_max(acc, k) AS folded_root FROM folded GROUP BY id
+        )
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed p JOIN langs l ON p.tree = l.of CROSS JOIN root JOIN proofs USING (id) JOIN ends USING (id)
+    """
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of the bytes of `text`: of each byte in turn eight steps of the polynomial's division."""
+    step = "lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    byte = f"list_reduce(range(8), {step}, xor(c, ascii(b)))"
+    return f"xor(list_reduce(string_split({text}, ''), lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 ORACLES = {
     "op1_line_dedup": r"""
         WITH parts AS (
@@ -172,6 +226,7 @@ ORACLES = {
     """,
     "op4_near_dedup": _links_sql(2, 80, "component_id, doc_id = component_id AS kept"),
     "op11_ngram_join": _links_sql(4, 85, "component_id"),
+    "op13_merkle_manifest": _manifest_sql(),
     "op7_decontamination": r"""
         WITH doc_words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
