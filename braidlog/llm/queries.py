@@ -101,6 +101,17 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), shingle=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def conversation_rolls() -> Column:
+    """crc32 of `conv_id:turn` modulo 20, a space for null."""
+    return F.pmod(F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))).cast("binary")), F.lit(20))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from braidlog.llm.conversations import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations"), conversation_rolls()))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from braidlog.llm.merkle import manifest
 
@@ -120,6 +131,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_ngram_join": op11_ngram_join,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
