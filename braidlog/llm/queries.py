@@ -202,6 +202,58 @@ def _manifest_sql() -> str:
     """
 
 
+def _repair_sql() -> str:
+    """The dynamic program row by row; a state is its cost in eight digits and its audit, so that the least text is the best."""
+    add = lambda v, cost, letter: f"(lpad(CAST(CAST(left({v}, 8) AS BIGINT) + {cost} AS VARCHAR), 8, '0') || substr({v}, 9) || '{letter}')"
+    best = lambda *x: f"least({', '.join(x)})"
+    when = lambda test, v: f"CASE WHEN {test} THEN {v} END"
+    gone, keeps = "fault IS NOT DISTINCT FROM 'blank' OR fault IS NOT DISTINCT FROM 'duplicate'", "NOT gone AND h = '{0}'"
+    moves = lambda role, froms: [when(keeps.format(role), add(f, "more", "K")) for f in froms] + ([when("NOT gone", add(f, "more + 1", "R")) for f in froms] if role != "s" else [])
+    to_user = ("v0", "v1", "v3")
+    after = [add("v0", 2, "D"), best(add("v1", 2, "D"), *moves("s", ["v0"])), best(add("v2", 2, "D"), *moves("u", to_user)), best(add("v3", 2, "D"), *moves("a", ["v2"]))]
+    order = "turn NULLS FIRST, tie, copy"
+    roll = _crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    return rf"""
+        WITH RECURSIVE rolled AS (
+            SELECT coalesce('1' || conv_id, '0') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, sha256(coalesce(role, ' ') || chr(0) || coalesce(text, ' ')) AS tie, {roll} % 20 AS roll FROM conversations
+        ), hit AS (
+            SELECT key, turn, tie, CASE WHEN roll = 4 THEN 'user' ELSE role END AS role, CASE roll WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE roll WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM rolled
+        ), ordered AS (
+            SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS i, row_number() OVER (PARTITION BY key, role, text ORDER BY {order}) AS nth,
+                   rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS h FROM hit
+        ), faulty AS (
+            SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(h) OVER (PARTITION BY key ORDER BY i) AS before FROM ordered
+        ), turns AS (
+            SELECT *, {gone} AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM faulty
+        ), summed AS (
+            SELECT key, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (i > 1 AND before || h NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY key
+        ), raw AS (
+            SELECT key, 0 AS i, '00000000' AS v0, CAST(NULL AS VARCHAR) AS v1, '00000005I' AS v2, '00000010II' AS v3 FROM summed
+            UNION ALL
+            SELECT key, i, w0, w1, u, least(w3, {add("u", 5, "I")}) FROM (
+                SELECT *, least(w2, {", ".join(add(w, 5, "I") for w in ("w0", "w1", "w3"))}) AS u FROM (
+                    SELECT t.key, t.i, {", ".join(f"{x} AS w{k}" for k, x in enumerate(after))} FROM raw r JOIN turns t ON t.key = r.key AND t.i = r.i + 1))
+        ), best AS (
+            SELECT key, CAST(left(v, 8) AS BIGINT) AS cost, substr(v, 9) AS audit FROM (SELECT key, least(v0, v3) AS v FROM raw JOIN summed USING (key) WHERE i = n)
+        ), letters AS (
+            SELECT key, generate_subscripts(string_split(audit, ''), 1) AS k, unnest(string_split(audit, '')) AS letter FROM best WHERE audit <> ''
+        ), edits AS (
+            SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY key ORDER BY k) AS i FROM letters
+        ), kept AS (
+            SELECT e.key, k, letter, role, CASE WHEN letter = 'I' THEN '' ELSE text END AS text, h, row_number() OVER (PARTITION BY e.key ORDER BY k) - 1 AS j FROM edits e LEFT JOIN turns t ON t.key = e.key AND t.i = e.i WHERE letter <> 'D'
+        ), led AS (
+            SELECT *, max(CASE WHEN j = 0 AND letter = 'K' AND h = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS lead FROM kept
+        ), texts AS (
+            SELECT key, string_agg(CASE WHEN letter = 'K' THEN role WHEN (j + lead) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS repaired FROM led GROUP BY key
+        )
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id, coalesce('1' || conv_id, '0') AS key FROM conversations) LEFT JOIN summed USING (key) LEFT JOIN best USING (key) LEFT JOIN texts USING (key)
+    """
+
+
 def _crc32_sql(text: str) -> str:
     """crc32 of the bytes of `text`: of each byte in turn eight steps of the polynomial's division."""
     step = "lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
@@ -238,6 +290,7 @@ ORACLES = {
     """,
     "op4_near_dedup": _links_sql(2, 80, "component_id, doc_id = component_id AS kept"),
     "op11_ngram_join": _links_sql(4, 85, "component_id"),
+    "op12_conversation_repair": _repair_sql(),
     "op13_merkle_manifest": _manifest_sql(),
     "op7_decontamination": r"""
         WITH doc_words AS (
