@@ -12,10 +12,10 @@ SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 SHORTER = {"\b": "\\b", "\f": "\\f"}
 
 
-def report_string(text: Column) -> Column:
-    """A JSON string: short escapes of SHORT, \\u00xx for other control characters; null is null."""
+def _json_string(text: Column, short: dict[str, str]) -> Column:
+    """A JSON string with the escapes of `short`, \\u00xx for other control characters; null is null."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for plain, escaped in SHORT.items():
+    for plain, escaped in short.items():
         if plain != "\\":
             out = F.replace(out, F.lit(plain), F.lit(escaped))
     rare = F.aggregate(
@@ -27,12 +27,14 @@ def report_string(text: Column) -> Column:
     return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), out, F.lit('"')))
 
 
-def state_string(text: str | None) -> str:
-    """The same for catalogue files, on the driver: \\b and \\f are short too."""
-    if text is None:
-        return "null"
-    short = SHORT | SHORTER
-    return '"' + "".join(short.get(c) or (f"\\u{ord(c):04x}" if ord(c) < 0x20 else c) for c in text) + '"'
+def report_string(text: Column) -> Column:
+    """A JSON string as reports spell it."""
+    return _json_string(text, SHORT)
+
+
+def catalogue_string(text: Column) -> Column:
+    """The same for catalogue files: \\b and \\f are short too."""
+    return _json_string(text, SHORT | SHORTER)
 
 
 def state_float(x: float) -> str:

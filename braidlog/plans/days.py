@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlog.functions.names import day_file_name, node_file_name
-from braidlog.operators.merging import ORDER, checked, demultiplexed, digests, keyed, prefixed, renumbered
-from braidlog.operators.sinks import frames, published, stage
-from braidlog.sources.lines import NodeFile, discover, node_lines, scan
+from braidlog.operators.merging import checked, demultiplexed, ordered_digests
+from braidlog.operators.sinks import manifest, published, stage
+from braidlog.sources.lines import NodeFile, discover, node_lines, scan_any
+from braidlog.sources.reader import reachable, read_lines
 from braidlog.sources.storage import Storage, temporary
 
 
@@ -29,9 +30,19 @@ class MergeReport:
         return all(f[2] for f in self.files)
 
 
+#: The order of a merged day: by running key, then by the files' order, then as they stood.
+ORDER = ("seconds", "fraction", "reader", "line_no")
+
+
+def prefixed_lines(lines: DataFrame) -> DataFrame:
+    """`lines` with the node before each, and a newline after it."""
+    return lines.withColumn("line", F.concat(F.col("node").cast("binary"), F.lit(b" "), F.col("line"), F.lit(b"\n")))
+
+
 def merged_lines(lines: DataFrame, ranges: int) -> DataFrame:
-    """(date, node, line) with the prefix, in merge order over so many partitions of about equal numbers of lines."""
-    return prefixed(keyed(lines)).repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER)
+    """(key, line) with the prefix, in merge order over so many partitions of about equal numbers of lines; key is the date."""
+    out = prefixed_lines(lines).repartitionByRange(ranges, *ORDER).sortWithinPartitions(*ORDER)
+    return out.select(F.col("date").alias("key"), "line")
 
 
 def merge(
@@ -76,23 +87,24 @@ def merge(
     def one(date: str):
         own = by_date[date]
         lines = node_lines(spark, own)
+        ordered = merged_lines(lines, jobs or spark.sparkContext.defaultParallelism)
         if output is None:
-            return date, False, _rechecked(spark, own, lines, keyed_back(lines))
+            back = ordered.select(F.spark_partition_id().alias("part"), F.expr("substring(line, 1, length(line) - 1)").alias("line"))
+            return date, False, _rechecked(spark, own, lines, back)
         target = f"{output}/{day_file_name(date)}"
         options = {} if frame is None else {"frame": frame}
-        staged = stage(frames(merged_lines(lines, jobs or spark.sparkContext.defaultParallelism).select(F.col("date").alias("key"), F.col("merged_line").alias("line")), "zst", level, **options), output)
+        staged = stage(ordered, output, "zst", level, **options)
         try:
             found: list[tuple[str, str, bool, int]] = []
             if check:
-                trial = f"{temporary(target)}.zst"  # this run's own, kept if it differs; readers go by its suffix
-                published(spark, staged, date, trial)
-                back = scan(spark, [trial]).select(F.lit(date).alias("date"), "line_no", "line")
-                found = _rechecked(spark, own, lines, back)
+                trial = temporary(target)  # this run's own, kept if it differs
+                published(spark, staged, date, trial, "zst")
+                found = _rechecked(spark, own, lines, _parts(spark, trial))
                 if not all(x[2] for x in found):
                     return date, False, found
                 storage.rename(trial, target)
             else:
-                published(spark, staged, date, target)
+                published(spark, staged, date, target, "zst")
             return date, True, found
         finally:
             storage.delete(staged)
@@ -108,36 +120,40 @@ def merge(
     return report
 
 
-def keyed_back(lines: DataFrame) -> DataFrame:
-    """(date, line_no, line) of the merged lines as a file would have them, without writing it."""
-    whole = Window.partitionBy("date").orderBy(*ORDER[1:])
-    return prefixed(keyed(lines)).select("date", F.row_number().over(whole).cast("long").alias("line_no"), F.col("merged_line").alias("line"))
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, place, line) of one file: parts of it in order, each in one partition."""
+    known = Storage(spark).qualified(path)
+    if reachable(known):
+        return read_lines(spark, [known])[0].select("part", "place", "line")
+    return scan_any(spark, [path]).select(F.lit(0).alias("part"), F.col("line_no").alias("place"), "line").repartition(1).sortWithinPartitions("place")
 
 
 def _rechecked(spark: SparkSession, files: list[NodeFile], lines: DataFrame, back: DataFrame) -> list[tuple[str, str, bool, int]]:
-    date = files[0].date
+    """(date, node, ok, lines) of a day's files: their `lines`, and those of its merged file by parts (part, line), digested where they lie."""
     inputs = spark.createDataFrame([(f.date, f.node) for f in files], "date string, node string")
-    own = renumbered(demultiplexed(back), "node").withColumn("date", F.lit(date))
-    report = checked(inputs, digests(lines, "date", "node"), digests(own, "date", "node"))
-    return [(r["date"], r["node"], r["ok"], r["lines"]) for r in report.orderBy("date", "node").collect()]
+    before = ordered_digests(lines.withColumn("part", F.spark_partition_id()), "date", "node")
+    after = ordered_digests(demultiplexed(back.withColumn("line_no", F.lit(0)), "part").withColumn("date", F.lit(files[0].date)), "date", "node")
+    return [(r["date"], r["node"], r["ok"], r["lines"]) for r in checked(inputs, before, after).orderBy("date", "node").collect()]
 
 
-def split(spark: SparkSession, path: str, output: str, *, level: int = 6) -> list[str]:
+def split(spark: SparkSession, path: str, output: str, *, level: int = 6, jobs: int = 0) -> list[str]:
     """One gzip file for each node of a merged day file; the inverse of merge but for an added last newline.
 
-    All files are made before any takes its place, a line without a node fails the whole split,
-    and a node whose name cannot be a file's is an error.
+    Ranges of a node's lines become members of its file, so one node keeps `jobs` tasks busy (0: one for
+    each core). All files are made before any takes its place, a line without a node fails the
+    whole split, and a node whose name cannot be a file's is an error.
     """
     name = path.rsplit("/", 1)[-1]
     if not (m := re.fullmatch(r"debug\.log-(.+)\.zst", name, re.DOTALL)):
         raise ValueError(f"not a merged log's name: {name}")
     date, storage = m[1], Storage(spark)
     storage.make_dir(output)
-    lines = demultiplexed(scan(spark, [path]).select("line_no", "line"))
-    ordered = lines.select(F.col("node").alias("key"), "line_no", "line").repartition("key").sortWithinPartitions("key", "line_no")
-    staged = stage(frames(ordered, "gz", level), output)
+    lines = demultiplexed(scan_any(spark, [path]).select("line_no", "line"))
+    ranges = jobs or spark.sparkContext.defaultParallelism
+    ordered = lines.select(F.col("node").alias("key"), "line_no", F.concat("line", F.lit(b"\n")).alias("line")).repartitionByRange(ranges, "key", "line_no").sortWithinPartitions("key", "line_no")
+    staged = stage(ordered, output, "gz", level)
     try:
-        nodes = sorted(r["key"] for r in spark.read.parquet(staged).select("key").distinct().collect())
+        nodes = sorted({key for key, _, _ in manifest(spark, staged)})
         for node in nodes:
             if not node or node.startswith(".") or "/" in node:
                 raise ValueError(f"node name is not a file name: {node!r}")
@@ -145,7 +161,7 @@ def split(spark: SparkSession, path: str, output: str, *, level: int = 6) -> lis
         trials = [temporary(p) for p in out]
         try:
             for node, trial in zip(nodes, trials, strict=True):
-                published(spark, staged, node, trial)
+                published(spark, staged, node, trial, "gz")
             for trial, target in zip(trials, out, strict=True):
                 storage.rename(trial, target)
         finally:

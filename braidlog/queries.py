@@ -14,9 +14,11 @@ from braidlog.functions import names as N
 from braidlog.functions.text import report_string
 from braidlog.functions.tokens import KINDS, rendered, with_atoms, with_tokens
 from braidlog.operators.clustering import cluster, exact_catalogue, slotted
-from braidlog.operators.merging import checked, digests, keyed, prefixed, renumbered
-from braidlog.operators.reports import json_lines, selected, text_lines
-from braidlog.plans.templates import UNKNOWN, unprefixed
+from braidlog.operators.merging import checked, demultiplexed, digests, keyed, prefixed
+from braidlog.operators.reports import in_order, json_lines, selected, text_lines
+from braidlog.operators.scans import placed
+from braidlog.plans.templates import UNKNOWN, sequenced, unprefixed
+from braidlog.sources.catalogue import clusters_of, ordered, with_lines
 
 # ---------------------------------------------------------------- derived logs
 
@@ -120,8 +122,8 @@ def _kind_sql(a: str, following: str) -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN '{kind}'" for kind, test in tests) + " END"
 
 
-PARSED = rf"""
-mixed AS ({MIXED["duck"]}),
+_PARSED = r"""
+mixed AS ({lines}),
 shaped AS (
     SELECT seq, line, regexp_matches(line, '^[0-9]{{4}}-') AS stamped, regexp_extract(line, '^[^ \t\n\f\r]*') AS stamp,
            ltrim(substr(line, length(regexp_extract(line, '^[^ \t\n\f\r]*')) + 1)) AS rest
@@ -136,7 +138,9 @@ shaped AS (
     FROM grouped
 )"""
 
-TOKENS = rf"""{PARSED},
+PARSED = _PARSED.format(lines=MIXED["duck"])
+
+_TOKENS = rf"""{{parsed}},
 atoms AS (SELECT seq, "timestamp", category, {ATOMS} AS atoms FROM parsed),
 placed AS (
     SELECT seq, generate_subscripts(atoms, 1) AS i, unnest(atoms) AS atom, atoms FROM atoms
@@ -155,6 +159,37 @@ placed AS (
     FROM slots GROUP BY category, slots
 )"""
 
+TOKENS = _TOKENS.replace("{parsed}", PARSED)
+
+
+def _tokens_of(lines: str) -> str:
+    """The same over other lines (seq, line)."""
+    return _TOKENS.replace("{parsed}", _PARSED.format(lines=lines))
+
+
+def _fold_sql(tokens: str, depth: int, threshold: float) -> str:
+    """Clustering line by line: each step of the recursion takes every leaf's next line."""
+    alike = "list_transform(f.templates, lambda p: len(list_filter(range(1, t.n + 1), lambda j: p[j] = t.slots[j] OR p[j] = '2')))"
+    widened = "list_transform(p, lambda x, j: CASE WHEN x = slots[j] THEN x ELSE '2' END)"
+    return rf"""{tokens}, leaves AS (
+        SELECT *, len(slots) AS n, concat(coalesce('1' || category, '0'), chr(1), len(slots), chr(1), array_to_string(slots[1 : {max(depth, 2) - 2}], chr(2))) AS leaf FROM slots
+    ), nth AS (
+        SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY seq) AS i FROM leaves
+    ), fold AS (
+        SELECT leaf, i, n, [slots] AS templates, CAST(1 AS BIGINT) AS own FROM nth WHERE i = 1
+        UNION ALL
+        SELECT leaf, i, n, CASE WHEN joins THEN list_transform(templates, lambda p, k: CASE WHEN k = best THEN {widened} ELSE p END) ELSE list_append(templates, slots) END, CASE WHEN joins THEN best ELSE len(templates) + 1 END
+        FROM (SELECT *, list_position(alike, list_max(alike)) AS best, n = 0 OR (list_max(alike) > 0 AND list_max(alike) / n >= {threshold}) AS joins
+              FROM (SELECT f.leaf, t.i, t.n, f.templates, t.slots, {alike} AS alike FROM fold f JOIN nth t ON t.leaf = f.leaf AND t.i = f.i + 1))
+    ), last AS (
+        SELECT leaf, arg_max(templates, i) AS templates FROM fold GROUP BY leaf
+    ), clusters AS (
+        SELECT f.leaf, own, any_value(category) AS category, min(seq) AS spawn, count(*) AS "count", min("timestamp") AS first_seen, max("timestamp") AS last_seen FROM fold f JOIN nth t ON t.leaf = f.leaf AND t.i = f.i GROUP BY f.leaf, own
+    )
+    SELECT category, row_number() OVER (PARTITION BY category ORDER BY spawn) AS id, "count", first_seen, last_seen,
+           array_to_string(list_transform(templates[own], lambda x: CASE WHEN x = '2' THEN '<*>' WHEN starts_with(x, '1') THEN '<' || {list(KINDS)}[CAST(substr(x, 2) AS INTEGER) + 1] || '>' ELSE substr(x, 2) END), ' ') AS template
+    FROM clusters JOIN last USING (leaf)"""
+
 _KEY = r"""
 CASE WHEN regexp_matches({x}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') AND (substr({x}, 20, 1) <> '.' OR length(regexp_extract(substr({x}, 21), '^[0-9]*')) BETWEEN 1 AND 9)
      THEN left({x}, 19) || '.' || rpad(CASE WHEN substr({x}, 20, 1) = '.' THEN regexp_extract(substr({x}, 21), '^[0-9]*') ELSE '' END, 9, '0') END"""
@@ -179,6 +214,7 @@ def _queries() -> dict:
     q.update(_token_queries())
     q.update(_merge_queries())
     q.update(_catalogue_queries())
+    q.update(_state_queries())
     return q
 
 
@@ -230,8 +266,8 @@ def _line_queries() -> dict:
         "node_prefixes": (prefix, f"{o} SELECT seq, CASE WHEN instr(line, ' ') > 0 THEN left(line, instr(line, ' ') - 1) END AS node, CASE WHEN instr(line, ' ') > 0 THEN substr(line, instr(line, ' ') + 1) ELSE line END AS rest FROM o"),
         "sniffed_prefixes": (sniff, sniffed),
         "decoded_lines": (
-            lambda s, d: _bound(s, d, "SELECT doc_id, text FROM documents", "documents").select("doc_id", F.length(L.decoded(F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff\xfe")))).cast("long").alias("n"), F.right(L.decoded(F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff\xfe"))), F.lit(2)).alias("tail")),
-            "SELECT doc_id, length(text) + 2 AS n, chr(65533) || chr(65533) AS tail FROM documents",
+            lambda s, d: _bound(s, d, "SELECT doc_id, text FROM documents", "documents").select("doc_id", L.decoded(F.concat(F.lit(b"\x80"), F.encode("text", "UTF-8"), F.lit(b"\xff\xfe"))).alias("text")),
+            "SELECT doc_id, chr(65533) || text || chr(65533) || chr(65533) AS text FROM documents",
         ),
         "json_strings": (lambda s, d: _bound(s, d, escaped, "documents").select("doc_id", report_string(F.col("t")).alias("json")), f"""SELECT doc_id, '"' || replace(replace(replace(replace(replace(t, chr(92), '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(1), '\\u0001') || '"' AS json FROM ({escaped})"""),
     }
@@ -264,26 +300,25 @@ def _token_queries() -> dict:
 
 def _merge_queries() -> dict:
     def order(s, d):
-        whole = Window.partitionBy("date").orderBy("merge_key", "reader", "line_no")
-        return prefixed(keyed(event_files(s, d))).select("date", F.row_number().over(whole).cast("long").alias("place"), "node", "line_no", "merge_key", F.col("merged_line").cast("string").alias("merged_line"))
+        whole = placed(prefixed(keyed(event_files(s, d))), ["date"], ["merge_key", "reader", "line_no"])
+        return whole.select("date", (F.col("place") + 1).alias("place"), "node", "line_no", "merge_key", F.col("merged_line").cast("string").alias("merged_line"))
 
     def back(s, d):
-        own = order(s, d).select("date", F.col("place").alias("line_no"), F.col("merged_line").cast("binary").alias("line"))
-        text = F.col("line").cast("string")
-        return own.select("date", L.node_of(text).alias("node"), "line_no", F.encode(L.after_node(text), "UTF-8").alias("line"))
+        return demultiplexed(order(s, d).select("date", F.col("place").alias("line_no"), F.col("merged_line").cast("binary").alias("line")), "date")
 
     def counts(s, d):
         return back(s, d).groupBy("date", "node").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).cast("long").alias("n_bytes"))
 
     def check(s, d):
         files = event_files(s, d)
-        report = checked(files.select("date", "node").distinct(), digests(files, "date", "node"), digests(renumbered(back(s, d), "date", "node"), "date", "node"))
+        report = checked(files.select("date", "node").distinct(), digests(files, "date", "node"), digests(back(s, d), "date", "node"))
         return report.select("date", "node", "ok", "lines")
 
     def differences(s, d):
         files = event_files(s, d)
         spoilt = (F.col("line_no") == 3) & F.expr("(cast(right(date, 1) AS int) + cast(right(node, 1) AS int)) % 3 = 0")
-        read = renumbered(back(s, d), "date", "node").withColumn("line", F.when(spoilt, F.concat("line", F.lit(b"!"))).otherwise(F.col("line")))
+        nth = placed(back(s, d), ["date", "node"], ["line_no"])
+        read = nth.withColumn("line_no", F.col("place") + 1).withColumn("line", F.when(spoilt, F.concat("line", F.lit(b"!"))).otherwise(F.col("line")))
         return checked(files.select("date", "node").distinct(), digests(files, "date", "node"), digests(read, "date", "node")).select("date", "node", "ok", "lines")
 
     return {
@@ -312,27 +347,53 @@ def _catalogue_queries() -> dict:
         out = cluster(rows, threshold=1.0)
         return out.select("node", "category", F.col("id").cast("long").alias("id"), F.col("count").cast("long").alias("count"), "first_seen", "last_seen", F.size("template").alias("n_slots"))
 
-    def two_batches(s, d):
-        lines = _slots(s, d)
-        half = F.col("seq") < 3000
-        first = cluster(lines.where(half), threshold=1.0)
-        return _shown(cluster(lines.where(~half), threshold=1.0, loaded=first.drop("node")))
+    def two_batches(threshold):
+        def run(s, d):
+            lines = _slots(s, d)
+            half = F.col("seq") < 3000
+            first = cluster(lines.where(half), threshold=threshold)
+            # what a catalogue file would hold of the first batch
+            loaded = clusters_of(with_lines(first.drop("node")))
+            return _shown(cluster(lines.where(~half), threshold=threshold, loaded=loaded))
+
+        return run
+
+    def prose(s, d):
+        lines = _bound(s, d, "SELECT doc_id * 100000 AS base, text FROM documents", "documents").select("base", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+        return slotted(lines, "line").select(F.lit(None).cast("string").alias("node"), "category", (F.col("base") + F.col("i")).alias("seq"), "timestamp", "slots")
+
+    def numbered(rows):
+        return placed(rows.withColumns({"one": F.lit(1), "at": F.monotonically_increasing_id()}), ["one"], ["at"]).drop("one", "at")
+
+    def report_order(s, d):
+        return numbered(in_order(selected(whole(s, d).drop("node"), min_count=2))).select("place", "category", F.col("id").cast("long").alias("id"))
+
+    def state_order(s, d):
+        return numbered(ordered(whole(s, d).drop("node"))).select("place", "category", F.col("id").cast("long").alias("id"))
+
+    def file_order(s, d):
+        rows = _bound(s, d, "SELECT doc_id, concat('debug.log-', lang, '-', source, '-', CAST(doc_id % 97 AS STRING)) AS file FROM documents", "documents")
+        return sequenced(rows.select("file", F.col("doc_id").alias("line_no"))).select("file", "line_no", "seq")
 
     show = 'category, id, "count", first_seen, last_seen, template'
     ranked = f'{TOKENS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY "count" DESC, id) AS rank FROM catalogue)'
-    node_slots = (
-        f"WITH ev AS ({EVENTS['duck']}) SELECT node, category, row_number() OVER (PARTITION BY node, category ORDER BY min(event_id)) AS id, count(*) AS \"count\", min(stamp) AS first_seen, max(stamp) AS last_seen, CAST(5 AS INTEGER) AS n_slots"
-        " FROM (SELECT node, event_id, stamp || 'Z' AS stamp, regexp_extract(line, '\\[([^\\]]*)\\]', 1) AS category, CASE WHEN regexp_matches(line, 'value [-+]?[0-9]+\\.[0-9]+$') THEN 'f' ELSE 'i' END AS shape FROM ev) GROUP BY node, category, shape"
-    )
+    node_slots = f"""WITH ev AS ({EVENTS["duck"]}), {_tokens_of("SELECT event_id AS seq, line FROM ev")}
+        SELECT node, category, row_number() OVER (PARTITION BY node, category ORDER BY min(seq)) AS id, count(*) AS "count", min("timestamp") AS first_seen, max("timestamp") AS last_seen, CAST(len(slots) AS INTEGER) AS n_slots
+        FROM slots JOIN (SELECT event_id AS seq, node FROM ev) USING (seq) GROUP BY node, category, slots"""
+    documents = "SELECT doc_id * 100000 + i - 1 AS seq, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
+    fold = lambda depth, threshold, tokens=TOKENS: "WITH RECURSIVE " + _fold_sql(tokens, depth, threshold).strip()
     return {
         "catalogue": (lambda s, d: _shown(whole(s, d)), f"WITH {TOKENS} SELECT {show} FROM catalogue"),
         "catalogue_grouped": (lambda s, d: _shown(exact_catalogue(_slots(s, d))), f"WITH {TOKENS} SELECT {show} FROM catalogue"),
-        "catalogue_incremental": (two_batches, f"WITH {TOKENS} SELECT {show} FROM catalogue"),
-        "catalogue_default": (lambda s, d: _shown(cluster(_slots(s, d))), None),
-        "catalogue_prose": (
-            lambda s, d: _shown(cluster(slotted(_bound(s, d, "SELECT doc_id * 100000 AS base, text FROM documents", "documents").select("base", F.posexplode(F.split("text", "\n")).alias("i", "line")), "line").select(F.lit(None).cast("string").alias("node"), "category", (F.col("base") + F.col("i")).alias("seq"), "timestamp", "slots"))),
-            None,
-        ),
+        "catalogue_incremental": (two_batches(1.0), f"WITH {TOKENS} SELECT {show} FROM catalogue"),
+        "catalogue_default": (lambda s, d: _shown(cluster(_slots(s, d))), fold(4, 0.5)),
+        "catalogue_strict": (lambda s, d: _shown(cluster(_slots(s, d), depth=3, threshold=0.75)), fold(3, 0.75)),
+        # wildcards of the first batch are loaded for the second
+        "catalogue_continued": (two_batches(0.5), fold(4, 0.5)),
+        "catalogue_prose": (lambda s, d: _shown(cluster(prose(s, d))), fold(4, 0.5, _tokens_of(documents))),
+        "report_order": (report_order, f'WITH {ranked} SELECT row_number() OVER (ORDER BY category NULLS FIRST, rank) - 1 AS place, category, id FROM ranked WHERE "count" >= 2'),
+        "state_order": (state_order, f"WITH {TOKENS} SELECT row_number() OVER (ORDER BY category NULLS FIRST, id) - 1 AS place, category, id FROM catalogue"),
+        "file_order": (file_order, "WITH f AS (SELECT concat('debug.log-', lang, '-', source, '-', doc_id % 97) AS file, doc_id AS line_no FROM documents) SELECT file, line_no, ((dense_rank() OVER (ORDER BY encode(file)) - 1) << 40) + line_no AS seq FROM f"),
         "report_min_count": (report(min_count=3), f'WITH {ranked} SELECT {show} FROM ranked WHERE "count" >= 3'),
         "report_category": (report(categories=["net", ""]), f"WITH {ranked} SELECT {show} FROM ranked WHERE category IN ('net', '')"),
         "report_top": (report(top=5), f"WITH {ranked} SELECT {show} FROM ranked WHERE rank <= 5"),
@@ -348,5 +409,45 @@ def _catalogue_queries() -> dict:
     }
 
 
+_STATE = """
+SELECT CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat(lang, chr(8), chr(34), chr(31)) END AS category, doc_id AS id, n_chars AS count,
+       CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat(source, chr(92)) END AS first_seen, source AS last_seen, concat(text, chr(12), chr(1), chr(13)) AS literal FROM documents
+"""
+_ESCAPED = """concat('a', chr(92), 'u00e9', chr(92), '/', chr(92), 'n', chr(92), chr(34), chr(92), 'b')"""
+_STATE_TEXT = f"""
+SELECT doc_id, concat('{{ "id" :', CASE doc_id % 3 WHEN 0 THEN '18446744073709551615' ELSE CAST(doc_id AS STRING) END, ',"category":', CASE doc_id % 4 WHEN 0 THEN 'null' ELSE concat(chr(34), {_ESCAPED}, lang, chr(34)) END,
+       ', "count":', CAST(n_chars AS STRING), ',"first_seen":null,"last_seen":"', source, '","template":[', CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('{{"t":"L","v":"', {_ESCAPED}, '"}}, {{"t":"W","k":"PEER"}},{{"t":"S"}}') END, ' ]}}') AS text FROM documents
+"""
+
+
+def _state_queries() -> dict:
+    def lines(s, d):
+        rows = _bound(s, d, _STATE, "documents").withColumn("template", F.array(F.concat(F.lit("0"), "literal"), F.lit("103"), F.lit("2"), F.lit("117")))
+        return with_lines(rows).select("id", "text")
+
+    def rows(s, d):
+        out = clusters_of(_bound(s, d, _STATE_TEXT, "documents"))
+        return out.select("category", *(F.col(c).cast("string").alias(c) for c in ("id", "count")), "first_seen", "last_seen", F.size("template").alias("n_slots"), F.array_join("template", "|").alias("template"))
+
+    short = {chr(92): "chr(92)", '"': "chr(34)", "\n": "chr(10)", "\r": "chr(13)", "\t": "chr(9)", "\b": "chr(8)", "\f": "chr(12)"}
+
+    def escaped(x: str) -> str:
+        out = x
+        for c, name in short.items():
+            letter = {"\n": "n", "\r": "r", "\t": "t", "\b": "b", "\f": "f"}.get(c)
+            out = f"replace({out}, {name}, chr(92) || {f"'{letter}'" if letter else name})"
+        for code in (1, 31):
+            out = f"replace({out}, chr({code}), chr(92) || 'u{code:04x}')"
+        return f"coalesce(chr(34) || {out} || chr(34), 'null')"
+
+    whole = "chr(97) || chr(233) || '/' || chr(10) || chr(34) || chr(8)"
+    return {
+        "state_lines": (lines, f"""SELECT id, '{{"id":' || id || ',"category":' || {escaped("category")} || ',"count":' || "count" || ',"first_seen":' || {escaped("first_seen")} || ',"last_seen":' || {escaped("last_seen")}
+            || ',"template":[{{"t":"L","v":' || {escaped("literal")} || '}},{{"t":"W","k":"FLOAT"}},{{"t":"S"}},{{"t":"W","k":"BASE58"}}]}}' AS text FROM ({_STATE})"""),
+        "state_rows": (rows, f"""SELECT CASE doc_id % 4 WHEN 0 THEN NULL ELSE {whole} || lang END AS category, CASE doc_id % 3 WHEN 0 THEN '18446744073709551615' ELSE CAST(doc_id AS VARCHAR) END AS id, CAST(n_chars AS VARCHAR) AS "count",
+            CAST(NULL AS VARCHAR) AS first_seen, source AS last_seen, CAST(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS INTEGER) AS n_slots, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '0' || {whole} || '|100|2' END AS template FROM documents"""),
+    }
+
+
 QUERIES = {name: q[0] for name, q in _queries().items()}
 ORACLES = {name: q[1] for name, q in _queries().items() if q[1]}

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidlog.functions.text import state_float, state_string
+from braidlog.functions.text import catalogue_string, state_float
 from braidlog.functions.tokens import KINDS, STAR, TEXT, TYPED
+from braidlog.operators.sinks import published, stage
+from braidlog.session import settled, ship
+from braidlog.sources.lines import scan_any
 from braidlog.sources.storage import Storage
 
 VERSION = 1
@@ -177,30 +181,47 @@ def parse(text: str) -> tuple[int, float, int | None, list[tuple]]:
     return depth, threshold, batch, [parse_cluster(x.removesuffix("\r")) for x in lines[1:] if x.strip()]
 
 
-def load(spark: SparkSession, path: str) -> Catalogue:
-    """A catalogue file; the driver parses it, as it holds one line for each template."""
-    depth, threshold, batch, rows = parse(Storage(spark).read(path).decode())
-    return Catalogue(spark.createDataFrame(rows, SCHEMA), depth, threshold, batch)
+def _clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([parse_cluster(x.removesuffix("\r")) for x in batch["text"] if x.strip()], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def clusters_of(lines: DataFrame) -> DataFrame:
+    """The clusters on the catalogue lines `text`, without the header, parsed where they lie."""
+    ship(lines.sparkSession)
+    return lines.select("text").mapInPandas(_clusters, SCHEMA)
 
 
-def _slot_text(slot: str) -> str:
-    if slot == STAR:
-        return '{"t":"S"}'
-    if slot.startswith(TYPED):
-        return f'{{"t":"W","k":{state_string(KINDS[int(slot[1:])])}}}'
-    return f'{{"t":"L","v":{state_string(slot[1:])}}}'
+def load(spark: SparkSession, path: str) -> Catalogue:
+    """A catalogue file: the driver reads its header, tasks parse its clusters."""
+    lines = scan_any(spark, [path])
+    header = lines.where("line_no = 1").first()
+    if header is None:
+        raise ValueError("catalogue: empty input")
+    depth, threshold, batch = parse_header(bytes(header["line"]).decode().removesuffix("\r"))
+    # whole, before the file is replaced
+    clusters = settled(clusters_of(lines.where("line_no > 1").select(F.col("line").cast("string").alias("text"))))
+    return Catalogue(clusters, depth, threshold, batch)
 
 
-def written(catalogue: Catalogue, rows: Iterable) -> Iterator[str]:
-    """The lines of a catalogue file, from rows in its order."""
+def header(catalogue: Catalogue) -> str:
     batch = "" if catalogue.batch is None else f',"batch":{catalogue.batch}'
-    yield f'{{"_meta":{{"version":{VERSION},"depth":{catalogue.depth},"threshold":{state_float(catalogue.threshold)}{batch}}}}}\n'
-    for r in rows:
-        slots = ",".join(map(_slot_text, r["template"]))
-        yield (
-            f'{{"id":{int(r["id"])},"category":{state_string(r["category"])},"count":{int(r["count"])},"first_seen":{state_string(r["first_seen"])},'
-            f'"last_seen":{state_string(r["last_seen"])},"template":[{slots}]}}\n'
-        )
+    return f'{{"_meta":{{"version":{VERSION},"depth":{catalogue.depth},"threshold":{state_float(catalogue.threshold)}{batch}}}}}'
+
+
+def _slot_text(slot: Column) -> Column:
+    label = F.element_at(F.array(*map(F.lit, KINDS)), F.substring(slot, 2, 2).cast("int") + 1)
+    typed = F.concat(F.lit('{"t":"W","k":"'), label, F.lit('"}'))
+    return F.when(slot == STAR, '{"t":"S"}').when(slot.startswith(TYPED), typed).otherwise(F.concat(F.lit('{"t":"L","v":'), catalogue_string(F.substring(slot, F.lit(2), F.length(slot))), F.lit("}")))
+
+
+def with_lines(clusters: DataFrame) -> DataFrame:
+    """Adds text: the line of a catalogue file for each cluster."""
+    number = lambda c: F.col(c).cast("decimal(20,0)").cast("string")
+    parts = ['{"id":', number("id"), ',"category":', catalogue_string(F.col("category")), ',"count":', number("count")]
+    parts += [',"first_seen":', catalogue_string(F.col("first_seen")), ',"last_seen":', catalogue_string(F.col("last_seen"))]
+    parts += [',"template":[', F.array_join(F.transform("template", _slot_text), ","), "]}"]
+    return clusters.withColumn("text", F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)))
 
 
 def ordered(clusters: DataFrame) -> DataFrame:
@@ -209,6 +230,11 @@ def ordered(clusters: DataFrame) -> DataFrame:
 
 
 def save(catalogue: Catalogue, path: str) -> None:
-    """Write a catalogue file beside `path`, then put it in its place."""
+    """Write a catalogue file beside `path`, then put it in its place: tasks make its lines, in ranges of its order."""
     spark = catalogue.clusters.sparkSession
-    Storage(spark).publish(path, (x.encode() for x in written(catalogue, ordered(catalogue.clusters).toLocalIterator())))
+    lines = ordered(with_lines(catalogue.clusters)).select(F.lit("").alias("key"), F.encode(F.concat("text", F.lit("\n")), "UTF-8").alias("line"))
+    staged = stage(lines, path.rpartition("/")[0] or ".", "plain", 0)
+    try:
+        published(spark, staged, "", path, "plain", f"{header(catalogue)}\n".encode())
+    finally:
+        Storage(spark).delete(staged)

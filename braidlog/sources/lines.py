@@ -12,8 +12,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidlog.functions.names import node_file
+from braidlog.operators.merging import keyed
 from braidlog.session import ship
+from braidlog.sources.reader import reachable, read_lines, whole_files
 from braidlog.sources.storage import Storage
 
 #: The first bytes of the two compressed formats.
@@ -68,6 +69,12 @@ def sniff(head: bytes) -> str:
     return next((suffix for magic, suffix in MAGIC.items() if head.startswith(magic)), "")
 
 
+def _opened_by_tasks(spark: SparkSession, paths: list[str]) -> list[str] | None:
+    """Qualified paths, if Python tasks can open them all."""
+    out = [Storage(spark).qualified(p) for p in paths]
+    return out if all(map(reachable, out)) else None
+
+
 def _numbered(raw: DataFrame) -> DataFrame:
     """Lines with their place in the file, from 1. A file's lines meet in one task, as a compressed file's must."""
     order = Window.partitionBy("file").orderBy("block", "place")
@@ -120,9 +127,17 @@ def _sniffed_lines(batches):
 def scan_any(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Like scan, but a file's first bytes tell its format, not its name.
 
-    Files that both agree on go through the text source; only the others are read as a whole
-    by the task that takes them apart.
+    Files are streamed in ranges (see reader) and keyed by their paths; `file` is a path's last part.
+    Where only Spark's own readers can open them, files whose suffix tells the truth go through
+    the text source, and the others are read as a whole by the task that takes them apart.
     """
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    if known := _opened_by_tasks(spark, paths):
+        lines = whole_files(*read_lines(spark, known))
+        names = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(known)], "file int, name string")
+        # a row for each file
+        return lines.join(F.broadcast(names), "file").select(F.col("name").alias("file"), "line_no", "line")
     ship(spark)
     storage = Storage(spark)
     plain, odd = [], []
@@ -138,6 +153,16 @@ def scan_any(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def node_lines(spark: SparkSession, files: list[NodeFile]) -> DataFrame:
-    """(date, node, reader, line_no, line) of node files."""
+    """(date, node, reader, line_no, line, seconds, fraction) of node files, with their running keys as numbers.
+
+    Each part of a file is in one partition, in order.
+    """
+    known = _opened_by_tasks(spark, [f.path for f in files])
+    if known:
+        listing = spark.createDataFrame([(i, f.date, f.node, f.reader) for i, f in enumerate(files)], "file int, date string, node string, reader int")
+        lines = whole_files(*read_lines(spark, known, keys=True))
+        return lines.join(F.broadcast(listing), "file").select("date", "node", "reader", "line_no", "line", "seconds", "fraction")
     listing = spark.createDataFrame([(f.name, f.date, f.node, f.reader) for f in files], "file string, date string, node string, reader int")
-    return scan(spark, [f.path for f in files]).join(F.broadcast(listing), "file").select("date", "node", "reader", "line_no", "line")
+    lines = keyed(scan(spark, [f.path for f in files]).join(F.broadcast(listing), "file").select("date", "node", "reader", "line_no", "line"))
+    number = lambda at, n: F.translate(F.substring("merge_key", at, n), "-T:", "").cast("long")
+    return lines.select("date", "node", "reader", "line_no", "line", number(1, 19).alias("seconds"), number(21, 9).alias("fraction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +19,11 @@ class Storage:
         where = self._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self._conf), where
 
+    def qualified(self, path: str) -> str:
+        """`path` with its file system's scheme."""
+        fs, where = self._at(path)
+        return fs.makeQualified(where).toString()
+
     def exists(self, path: str) -> bool:
         fs, where = self._at(path)
         return fs.exists(where)
@@ -79,11 +84,38 @@ class Storage:
         kinds[0] = options.get(None)
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), self._conf).rename(a, b, kinds)
 
+    def concatenate(self, path: str, parts: Iterable[str], tail: bytes = b"", head: bytes = b"") -> None:
+        """`head`, the files `parts` one after another, and `tail`, as `path`; their bytes pass through the file system's client alone."""
+        fs, where = self._at(path)
+        copy = self._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+        stream = fs.create(where, True)
+        try:
+            if head:
+                stream.write(head)
+            for part in parts:
+                own, at = self._at(part)
+                source = own.open(at)
+                try:
+                    copy(source, stream, 4 << 20, False)
+                finally:
+                    source.close()
+            if tail:
+                stream.write(tail)
+        finally:
+            stream.close()
+
     def publish(self, path: str, parts: Iterable[bytes]) -> None:
         """Write beside `path` under a name of this attempt's own, then rename; on failure nothing stays."""
+        self._published(path, lambda attempt: self.write(attempt, parts))
+
+    def publish_files(self, path: str, files: Iterable[str], tail: bytes = b"", head: bytes = b"") -> None:
+        """The same of files put together."""
+        self._published(path, lambda attempt: self.concatenate(attempt, files, tail, head))
+
+    def _published(self, path: str, write: Callable[[str], None]) -> None:
         attempt = temporary(path)
         try:
-            self.write(attempt, parts)
+            write(attempt)
             self.rename(attempt, path)
         except BaseException:
             self.delete(attempt)

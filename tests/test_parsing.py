@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidlog.functions import lines as L
-from braidlog.functions.text import report_string, state_float, state_string
+from braidlog.functions.text import catalogue_string, report_string, state_float
 from braidlog.functions.tokens import rendered, with_slots, with_tokens
 
 HASH = "0a" * 32
@@ -87,9 +87,9 @@ def test_invalid_bytes_are_replaced(spark):
 
 def test_json_text(spark):
     text = 'a"b\\c\nd\re\tf\bg\fh\x01\x1f é'
-    got = spark.createDataFrame([(text,), (None,)], "t string").select(report_string(F.col("t")).alias("j")).collect()
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(report_string(F.col("t")).alias("j"), catalogue_string(F.col("t")).alias("c")).collect()
     assert got[0]["j"] == '"a\\"b\\\\c\\nd\\re\\tf\\u0008g\\u000ch\\u0001\\u001f é"' and got[1]["j"] == "null"
-    assert state_string(text) == '"a\\"b\\\\c\\nd\\re\\tf\\bg\\fh\\u0001\\u001f é"'
+    assert got[1]["c"] == "null" and got[0]["c"] == '"a\\"b\\\\c\\nd\\re\\tf\\bg\\fh\\u0001\\u001f é"'
     assert [state_float(x) for x in (0.5, 1.0, 1e-7, 1.5e-9, 1e22, 123456789.25, 2.5e20)] == ["0.5", "1.0", "0.0000001", "0.0000000015", "10000000000000000000000.0", "123456789.25", "250000000000000000000.0"]
     with pytest.raises(ValueError):
         state_float(float("inf"))
