@@ -46,9 +46,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         spark = spark or session()
         if args.command == "merge":
             report = merge(spark, args.input_dir, args.output_dir, level=args.level, days_at_once=args.days, before=args.before, check=args.check, jobs=args.jobs)
-            if not report.days and not report.files:
-                print("merge: nothing to merge")
+            if args.before and not report.days and not report.files:
+                print(f"merge: nothing dated before {args.before}")
             if args.check and report.files:
+                print("merge --check: " + ("each day was written, read again and split" if args.output_dir else "the merged lines were split, nothing was written"))
                 rows = spark.createDataFrame(report.files, "date string, node string, ok boolean, lines bigint")
                 for line in check_lines(rows):
                     print(line)

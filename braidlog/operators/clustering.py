@@ -14,6 +14,8 @@ distinct slots into such intervals; counts and seen ranges are aggregates over t
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +42,48 @@ def leaf_of(slots: Column, depth: int) -> Column:
     return F.struct(F.size(slots).alias("n"), F.slice(slots, 1, max(depth, 2) - 2).alias("prefix") if depth > 2 else F.array().cast("array<string>").alias("prefix"))
 
 
+#: So many clusters, or rows, are compared as they are; the index is for more.
+FEW = 64
+
+
+class Index:
+    """Which rows hold a slot at a position; a row's slots may turn into wildcards, which hold any."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.holding: dict[tuple[int, int], array] = {}
+        self.wild = [array("q") for _ in range(width)]
+
+    def add(self, row: int, slots: np.ndarray) -> None:
+        for place, code in enumerate(slots.tolist()):
+            (self.wild[place] if code < 0 else self.holding.setdefault((place, code), array("q"))).append(row)
+
+    def widened(self, row: int, places: np.ndarray) -> None:
+        for place in places.tolist():  # where it was listed before it stays: who asks compares
+            self.wild[place].append(row)
+
+    def at(self, place: int, code: int) -> list[array]:
+        return [x for x in (self.holding.get((place, code)), self.wild[place]) if x]
+
+    def alike(self, slots: np.ndarray, least: int) -> np.ndarray:
+        """Rows, in order, with all of those that agree with `slots` in `least` places or more.
+
+        Such a row agrees in one at least of any width - least + 1 places; those with the fewest rows are asked.
+        """
+        lists = sorted((self.at(p, c) for p, c in enumerate(slots.tolist())), key=lambda x: sum(map(len, x)))
+        found = [np.frombuffer(x, dtype=np.int64) for own in lists[: self.width - least + 1] for x in own]
+        return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+
+
 class Leaf:
     """The sequential fold over one leaf's first occurrences; slots are small integers, a wildcard -1."""
 
     def __init__(self, width: int, threshold: float):
         self.width, self.threshold = width, threshold
         self.templates = np.empty((0, width), dtype=np.int32)
-        self.n = 0
+        self.n, self.index = 0, Index(width)
+        # how many places have to agree
+        self.least = next((k for k in range(1, width + 1) if k / width >= threshold), 1) if width else 0
 
     def add(self, template: np.ndarray) -> int:
         if self.n == len(self.templates):
@@ -54,6 +91,7 @@ class Leaf:
             grown[: self.n] = self.templates[: self.n]
             self.templates = grown
         self.templates[self.n] = template
+        self.index.add(self.n, template)
         self.n += 1
         return self.n - 1
 
@@ -61,17 +99,43 @@ class Leaf:
         """Cluster of a line, whether it is new, whether its template changed."""
         if not self.width:
             return (0, False, False) if self.n else (self.add(slots), True, False)
-        if self.n:
-            own = self.templates[: self.n]
+        near = self.index.alike(slots, self.least) if self.n > FEW else np.arange(self.n)
+        if len(near):
+            own = self.templates[near]
             alike = ((own == slots) | (own < 0)).sum(axis=1)
             best = int(alike.argmax())
-            if alike[best] and alike[best] / self.width >= self.threshold:
-                changed = (own[best] != slots) & (own[best] >= 0)
-                own[best][changed] = -1
-                return best, False, bool(changed.any())
+            if alike[best] >= self.least:
+                cluster = int(near[best])
+                changed = np.flatnonzero((own[best] != slots) & (own[best] >= 0))
+                self.templates[cluster, changed] = -1
+                self.index.widened(cluster, changed)
+                return cluster, False, bool(len(changed))
         return self.add(slots), True, False
 
 
+class Rows:
+    """The rows that a leaf has seen, each with its cluster and since when."""
+
+    def __init__(self, coded: np.ndarray):
+        self.coded, self.index, self.n = coded, Index(coded.shape[1]), 0
+        self.row, self.cluster, self.since = (np.empty(len(coded), dtype=np.int64) for _ in range(3))
+
+    def add(self, row: int, cluster: int, since: int) -> None:
+        self.index.add(self.n, self.coded[row])
+        self.row[self.n], self.cluster[self.n], self.since[self.n] = row, cluster, since
+        self.n += 1
+
+    def later(self, cluster: int, template: np.ndarray) -> list[int]:
+        """Rows in later clusters than `cluster` that its `template` fits wholly."""
+        fixed = np.flatnonzero(template >= 0)
+        near = np.arange(self.n)
+        if self.n > FEW and len(fixed):
+            lists = [self.index.holding.get((p, c), array("q")) for p, c in zip(fixed.tolist(), template[fixed].tolist(), strict=True)]
+            near = np.frombuffer(min(lists, key=len), dtype=np.int64) if all(lists) else near[:0]
+        near = near[self.cluster[near] > cluster]
+        return near[(self.coded[self.row[near]][:, fixed] == template[fixed]).all(axis=1)].tolist()
+
+
 def _kernel(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """A leaf's rows, loaded clusters (seq < 0) first, to assignment intervals and templates."""
@@ -82,9 +146,7 @@ def _kernel(threshold: float):
         coded = np.where(flat == STAR, -1, codes).astype(np.int32).reshape(len(group), width)
         leaf = Leaf(coded.shape[1], threshold)
         spawned: list[int] = []
-        # rows seen so far by place in the group, the cluster each is in now, and since when
-        seen, at, since = (np.empty(len(group), dtype=np.int64) for _ in range(3))
-        n_seen = 0
+        seen = Rows(coded)
         out: list[tuple[int, int, int, int]] = []  # row, cluster, from, to
         for i, (seq, slots) in enumerate(zip(group["seq"], coded, strict=True)):
             if seq < 0:
@@ -94,17 +156,12 @@ def _kernel(threshold: float):
             cluster, new, changed = leaf.place(slots)
             if new:
                 spawned.append(int(seq))
-            if changed and n_seen:
-                template = leaf.templates[cluster]
-                later = np.flatnonzero(at[:n_seen] > cluster)
-                if len(later):
-                    rows = coded[seen[later]]
-                    for k in later[((rows == template) | (template < 0)).all(axis=1)].tolist():
-                        out.append((int(seen[k]), int(at[k]), int(since[k]), int(seq)))
-                        at[k], since[k] = cluster, seq
-            seen[n_seen], at[n_seen], since[n_seen] = i, cluster, seq
-            n_seen += 1
-        out += [(r, c, f, END) for r, c, f in zip(*(x[:n_seen].tolist() for x in (seen, at, since)), strict=True)]
+            if changed:
+                for k in seen.later(cluster, leaf.templates[cluster]):
+                    out.append((int(seen.row[k]), int(seen.cluster[k]), int(seen.since[k]), int(seq)))
+                    seen.cluster[k], seen.since[k] = cluster, seq
+            seen.add(i, cluster, seq)
+        out += [(r, c, f, END) for r, c, f in zip(*(x[: seen.n].tolist() for x in (seen.row, seen.cluster, seen.since)), strict=True)]
         texts = [[STAR if v < 0 else names[v] for v in t] for t in leaf.templates[: leaf.n].tolist()]
         ids = list(group["loaded_id"])
         head = {c: group[c].iloc[0] for c in ("node", "category")}
@@ -142,7 +199,7 @@ def cluster(lines: DataFrame, depth: int = 4, threshold: float = 0.5, loaded: Da
 
     Lines are aggregated to distinct slots before they move, which takes off the frequent
     templates' weight; a leaf's distinct slots, few in logs, meet in one task, as the fold over
-    them is sequential by definition.
+    them is sequential by definition. There an index by position and slot leaves few clusters to compare.
     """
     if not 0 <= threshold <= 1:
         raise ValueError(f"threshold must be in [0, 1]: {threshold}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Container, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -56,6 +56,7 @@ def merge(
     check: bool = False,
     jobs: int = 0,
     frame: int | None = None,
+    days: Container[str] | None = None,
     after: Iterable[Callable[[list[str]], None]] = (),
 ) -> MergeReport:
     """Merge the node files of `folder` into one zstd file a day in `output`.
@@ -64,7 +65,7 @@ def merge(
     before that is published; a day that differs keeps its temporary file and is not published,
     and the others are. Without `output` only a check is made. `before` leaves out that day and
     later ones. `after` gets the names of what was published, in turn, unless there is none.
-    An input that cannot be read fails the merge and leaves nothing of its day. `jobs` is the
+    With `days` only those are merged. An input that cannot be read fails the merge and leaves nothing of its day. `jobs` is the
     number of tasks that compress a day, 0 for one on each core; contents do not depend on it.
     """
     files = discover(spark, folder)
@@ -80,7 +81,8 @@ def merge(
     report, storage = MergeReport(), Storage(spark)
     by_date: dict[str, list[NodeFile]] = {}
     for f in chosen:
-        by_date.setdefault(f.date, []).append(f)
+        if days is None or f.date in days:
+            by_date.setdefault(f.date, []).append(f)
     if output is not None and by_date:
         storage.make_dir(output)
 

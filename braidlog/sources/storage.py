@@ -33,6 +33,16 @@ class Storage:
         fs, where = self._at(path)
         return sorted((s.getPath().getName() for s in fs.listStatus(where)), key=lambda x: x.encode("utf-8", "surrogatepass"))
 
+    def stamp(self, path: str) -> tuple[int, int]:
+        """Size and time of the last change of a file."""
+        fs, where = self._at(path)
+        status = fs.getFileStatus(where)
+        return status.getLen(), status.getModificationTime()
+
+    def is_dir(self, path: str) -> bool:
+        fs, where = self._at(path)
+        return fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
     def make_dir(self, path: str) -> None:
         fs, where = self._at(path)
         fs.mkdirs(where)

@@ -44,6 +44,44 @@ def test_clusters_equal_the_model(spark, seed, depth, threshold):
         assert as_set(exact_catalogue(df)) == modelled(rows, depth, threshold)
 
 
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.5), (2, 0.25), (3, 0.75), (4, 0.0), (5, 1.0), (6, 0.34)])
+def test_index_leaves_out_no_cluster_and_no_row(monkeypatch, seed, threshold):
+    import pandas as pd
+
+    from braidlog.operators import clustering as K
+
+    rng = random.Random(seed)
+    slots = list(dict.fromkeys(tuple(rng.choice(["0a", "0b", "0c", "0d", "102"]) for _ in range(rng.choice([5]))) for _ in range(900)))
+    loaded = [("0a", "2", "0b", "2", "0c"), ("2",) * 5][: seed % 3]
+    rows = [(None, None, K.LOADED, x, f"{i:020}") for i, x in enumerate(loaded)] + [(None, None, i, x, None) for i, x in enumerate(slots)]
+    group = pd.DataFrame([(*r[:3], list(r[3]), r[4]) for r in rows], columns=["node", "category", "seq", "slots", "loaded_id"])
+    found = []
+    for few in (0, 10**9):
+        monkeypatch.setattr(K, "FEW", few)
+        out = K._kernel(threshold)(group.copy())
+        found.append(sorted(map(repr, out.to_dict("records"))))
+    assert found[0] == found[1]
+
+
+def test_many_clusters_of_one_leaf_take_linear_time():
+    import time
+
+    import pandas as pd
+
+    from braidlog.operators import clustering as K
+
+    def seconds(n):
+        rng = random.Random(1)
+        rows = [(None, None, i, ["0a", "0b"] + [f"0{rng.randrange(5 * n)}" for _ in range(8)], None) for i in range(n)]
+        began = time.process_time()
+        out = K._kernel(0.5)(pd.DataFrame(rows, columns=["node", "category", "seq", "slots", "loaded_id"]))
+        assert len(out) == n
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 16 * max(seconds(2_000), 0.05)
+
+
 @pytest.mark.parametrize("seed", [11, 12, 13])
 def test_loaded_clusters_equal_the_model(spark, seed):
     from decimal import Decimal

@@ -144,6 +144,43 @@ def test_accumulation_is_exactly_once(spark, tmp_path):
     assert not fold_batch(spark, state, [str(logs / "debug.log-2.gz")], batch, 4, 0.5) and total() == 14
 
 
+def test_accumulation_over_folders_and_files_with_reports(spark, tmp_path):
+    from braidlog.sources.catalogue import load
+
+    state, taken = str(tmp_path / "state"), []
+    total = lambda: sum(int(r["count"]) for r in load(spark, state).clusters.collect())
+    for name in ("a", "b"):
+        put(tmp_path / name, "debug.log-1.gz", LINES.encode())  # the same name in two folders is two logs
+    put(tmp_path / "a", "other.log", b"not one\n")
+    (tmp_path / "single").write_bytes(LINES.encode())
+    inputs = [str(tmp_path / x) for x in ("a", "b", "single", "none")]
+    run = lambda inputs, **o: accumulate(spark, inputs, state, str(tmp_path / "ck"), on_batch=lambda _, paths: taken.extend(paths), **o)
+    run(inputs, files_at_once=2, report=str(tmp_path / "report.json"), json_report=True)
+    assert total() == 21 and len(taken) == len(set(taken)) == 3
+    assert (tmp_path / "report.json").read_text().splitlines()[1].startswith('{"category":"net","count":18,')
+    put(tmp_path / "none", "debug.log-2.gz", LINES.encode())
+    run(inputs[2:], node_folder=str(tmp_path / "nodes"))
+    run(inputs)
+    assert total() == 28 and len(taken) == len(set(taken)) == 4
+    assert (tmp_path / "nodes" / "n2.txt").read_text() == "=== net ===\n     3 ping <PEER>\n"
+
+
+def test_days_are_merged_once(spark, tmp_path):
+    for day in ("20260515", "20260516", "20260517"):
+        put(tmp_path / "in", f"debug.log-{day}-n1.gz", f"2026-05-15T00:00:00Z {day}\n".encode())
+    run = lambda: merge_new_days(spark, str(tmp_path / "in"), str(tmp_path / "out"), today="20260517", level=1, after=[seen.append]).days
+    seen = []
+    assert run() == ["debug.log-20260515.zst", "debug.log-20260516.zst"]
+    assert run() == []
+    put(tmp_path / "in", "debug.log-20260515-n1.gz", b"2026-05-15T00:00:00Z changed and longer\n")
+    assert run() == ["debug.log-20260515.zst"] and b"changed" in unpacked(tmp_path / "out" / "debug.log-20260515.zst")
+    put(tmp_path / "in", "debug.log-20260516-n2.gz", b"2026-05-15T00:00:00Z new\n")
+    assert run() == ["debug.log-20260516.zst"]
+    (tmp_path / "out" / "debug.log-20260516.zst").unlink()
+    assert run() == ["debug.log-20260516.zst"] and run() == []
+    assert len(seen) == 4
+
+
 @pytest.mark.parametrize("jobs", [1, 3])
 def test_jobs_do_not_change_contents(spark, tmp_path, jobs):
     for n in range(2):
