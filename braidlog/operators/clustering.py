@@ -18,6 +18,7 @@ from array import array
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,8 +205,16 @@ def cluster(lines: DataFrame, depth: int = 4, threshold: float = 0.5, loaded: Da
     if not 0 <= threshold <= 1:
         raise ValueError(f"threshold must be in [0, 1]: {threshold}")
     ship(lines.sparkSession)
+    # reading and parsing are the dear part and run once; a lost executor's share is made again
+    lines = lines.select("node", "category", "seq", "timestamp", "slots").persist(StorageLevel.DISK_ONLY)
+    try:
+        return _clustered(lines, depth, threshold, loaded)
+    finally:
+        lines.unpersist()
+
+
+def _clustered(lines: DataFrame, depth: int, threshold: float, loaded: DataFrame | None) -> DataFrame:
     found = lines.groupBy("node", "category", "slots").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
-    # parsing is the dear part: it runs once, and what is left of the lines is small
     signatures = settled(found).withColumn("leaf", leaf_of(F.col("slots"), depth))
     rows = signatures.select("node", "category", "leaf", "slots", "seq", F.lit(None).cast("string").alias("loaded_id"))
     if loaded is not None:
@@ -224,7 +233,7 @@ def cluster(lines: DataFrame, depth: int = 4, threshold: float = 0.5, loaded: Da
     several = apart.alias("p").join(lines.alias("s"), same & (F.col("s.seq") >= F.col("p.from_seq")) & (F.col("s.seq") < F.col("p.to_seq")))
     several = several.select(*key, F.lit(1).cast("long").alias("n"), F.col("s.timestamp").alias("first_seen"), F.col("s.timestamp").alias("last_seen"))
     zero = intervals.where(F.col("slots").isNull()).select("node", "category", "spawn_seq", "loaded_id", "template", "place", F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("first_seen"), F.lit(None).cast("string").alias("last_seen"))
-    found = (
+    found = settled(
         (whole if apart.isEmpty() else whole.unionAll(several))
         .unionAll(zero)
         .groupBy("node", "category", F.struct(F.size("template").alias("n"), "place", "spawn_seq", "loaded_id", "template").alias("c"))

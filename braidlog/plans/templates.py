@@ -12,7 +12,7 @@ from braidlog.functions.names import plain
 from braidlog.operators.clustering import cluster, folded, slotted
 from braidlog.operators.reports import printed, selected
 from braidlog.sources.catalogue import SCHEMA, Catalogue, load, save
-from braidlog.sources.lines import scan_any
+from braidlog.sources.lines import scan_any, scan_places
 from braidlog.sources.storage import Storage
 
 UNKNOWN = "_unknown"
@@ -28,13 +28,18 @@ def texts(lines: DataFrame) -> DataFrame:
     return spread.withColumn("text", without_line_end(decoded(F.col("line"))))
 
 
-def unprefixed(lines: DataFrame) -> DataFrame:
+def verdicts(lines: DataFrame) -> DataFrame:
+    """(file_, prefixed_, decided_): what the first line with a timestamp, bare or after a node, says of its file, and its number."""
+    return lines.select("file", "line_no", sniffed(F.col("text")).alias("verdict")).where("verdict is not null").groupBy(F.col("file").alias("file_")).agg(F.min_by("verdict", "line_no").alias("prefixed_"), F.min("line_no").alias("decided_"))
+
+
+def unprefixed(lines: DataFrame, verdict: DataFrame | None = None) -> DataFrame:
     """Takes node prefixes off `text`, in files of (file, line_no, text) that show them.
 
-    The first line with a timestamp, bare or after a node, decides for its file and those after
-    it; lines before it stay as they are.
+    A file's verdict holds from the line that decides it; lines before it stay as they are.
     """
-    verdict = lines.select("file", "line_no", sniffed(F.col("text")).alias("verdict")).where("verdict is not null").groupBy(F.col("file").alias("file_")).agg(F.min_by("verdict", "line_no").alias("prefixed_"), F.min("line_no").alias("decided_"))
+    verdict = verdicts(lines) if verdict is None else verdict
+    # a row for each file
     out = lines.join(F.broadcast(verdict), F.col("file") == F.col("file_"), "left")
     strip = F.coalesce(F.col("prefixed_") & (F.col("line_no") >= F.col("decided_")), F.lit(False))
     return out.withColumn("text", F.when(strip, after_node(F.col("text"))).otherwise(F.col("text"))).drop("file_", "prefixed_", "decided_")
@@ -50,11 +55,39 @@ def empty(spark: SparkSession, depth: int = 4, threshold: float = 0.5) -> Catalo
     return Catalogue(spark.createDataFrame([], SCHEMA), depth, threshold)
 
 
+#: Of so many first lines of a file one nearly always has a timestamp.
+HEAD = 1000
+
+
+def slots_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(category, seq, timestamp, slots) of the lines of files, in byte order of their names.
+
+    Lines are read once: what decides about a file's prefixes is in its first lines, and only
+    files where it is not are read for that.
+    """
+    paths = sorted(paths, key=lambda p: (p.rsplit("/", 1)[-1].encode(), p.encode()))
+    found: dict[int, tuple[bool, int]] = {}
+    for most in (HEAD, 0):
+        open_ = [i for i in range(len(paths)) if i not in found]
+        if open_:
+            heads = texts(scan_places(spark, [paths[i] for i in open_], most))
+            found |= {open_[int(r["file_"])]: (r["prefixed_"], r["decided_"]) for r in verdicts(heads).collect()}
+    lines = texts(scan_places(spark, paths))
+    told = spark.createDataFrame([(str(i), *v) for i, v in found.items()], "file_ string, prefixed_ boolean, decided_ bigint")
+    lines = unprefixed(lines, told).withColumn("seq", F.shiftleft(F.col("file").cast("long"), 40) + F.col("line_no"))
+    return slotted(lines, "text").select("category", "seq", "timestamp", "slots")
+
+
 def ingest(catalogue: Catalogue, lines: DataFrame) -> Catalogue:
     """`catalogue` after raw lines (file, line_no, line)."""
     return folded(catalogue, slotted(sequenced(unprefixed(texts(lines))), "text").select("category", "seq", "timestamp", "slots"))
 
 
+def ingest_files(catalogue: Catalogue, spark: SparkSession, paths: list[str]) -> Catalogue:
+    """`catalogue` after the lines of files, in byte order of their names."""
+    return folded(catalogue, slots_of(spark, paths)) if paths else catalogue
+
+
 def templates(
     spark: SparkSession,
     path: str | None = None,
@@ -76,10 +109,9 @@ def templates(
     catalogue = load(spark, load_state) if load_state else empty(spark, depth, threshold)
     if path is not None:
         if categories and not save_state:
-            lines = slotted(sequenced(unprefixed(texts(scan_any(spark, [path])))), "text").where(F.col("category").isin(list(categories)))
-            catalogue = folded(catalogue, lines.select("category", "seq", "timestamp", "slots"))
+            catalogue = folded(catalogue, slots_of(spark, [path]).where(F.col("category").isin(list(categories))))
         else:
-            catalogue = ingest(catalogue, scan_any(spark, [path]))
+            catalogue = ingest_files(catalogue, spark, [path])
     if save_state:
         save(catalogue, save_state)
         catalogue = load(spark, save_state)  # what was written, not computed again

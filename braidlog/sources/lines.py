@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import os
@@ -124,8 +125,8 @@ def _sniffed_lines(batches):
                 yield pd.DataFrame({"file": name, "line_no": range(first, first + len(rows)), "line": rows})
 
 
-def scan_any(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Like scan, but a file's first bytes tell its format, not its name.
+def scan_any(spark: SparkSession, paths: list[str], most: int = 0) -> DataFrame:
+    """Like scan, but a file's first bytes tell its format, not its name. With `most`, at least so many first lines of each file.
 
     Files are streamed in ranges (see reader) and keyed by their paths; `file` is a path's last part.
     Where only Spark's own readers can open them, files whose suffix tells the truth go through
@@ -134,7 +135,7 @@ def scan_any(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], SCHEMA)
     if known := _opened_by_tasks(spark, paths):
-        lines = whole_files(*read_lines(spark, known))
+        lines = whole_files(*read_lines(spark, known, most=most))
         names = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(known)], "file int, name string")
         # a row for each file
         return lines.join(F.broadcast(names), "file").select(F.col("name").alias("file"), "line_no", "line")
@@ -152,6 +153,14 @@ def scan_any(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def scan_places(spark: SparkSession, paths: list[str], most: int = 0) -> DataFrame:
+    """Like scan_any, but `file` is a path's place in `paths`, as text: two paths of one name are two files."""
+    if known := _opened_by_tasks(spark, paths):
+        return whole_files(*read_lines(spark, known, most=most)).select(F.col("file").cast("string").alias("file"), "line_no", "line")
+    out = [scan_any(spark, [p]).withColumn("file", F.lit(str(i))) for i, p in enumerate(paths)]
+    return functools.reduce(DataFrame.unionAll, out)
+
+
 def node_lines(spark: SparkSession, files: list[NodeFile]) -> DataFrame:
     """(date, node, reader, line_no, line, seconds, fraction) of node files, with their running keys as numbers.
 

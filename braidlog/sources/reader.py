@@ -211,7 +211,7 @@ SCHEMA = "file int, part int, place bigint, line binary, seconds bigint, fractio
 
 
 class LineSource(DataSource):
-    """Format `braidlog_lines`; option `ranges` is a JSON list of ranges, `keys` whether running keys are wanted."""
+    """Format `braidlog_lines`; option `ranges` is a JSON list of ranges, `keys` whether running keys are wanted, `most` see read_lines."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,12 +221,12 @@ class LineSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return LineReader(json.loads(self.options["ranges"]), self.options["keys"] == "true")
+        return LineReader(json.loads(self.options["ranges"]), self.options["keys"] == "true", int(self.options["most"]))
 
 
 class LineReader(DataSourceReader):
-    def __init__(self, listed: list, keys: bool):
-        self.listed, self.keys = listed, keys
+    def __init__(self, listed: list, keys: bool, most: int):
+        self.listed, self.keys, self.most = listed, keys, most
 
     def partitions(self) -> list[Range]:
         return [Range(*x) for x in self.listed]
@@ -245,22 +245,25 @@ class LineReader(DataSourceReader):
                 constant = lambda x: pa.array(np.full(size, x, dtype=np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([constant(r.file), constant(r.part), pa.array(np.arange(n, n + size)), lines, pa.array(seconds), pa.array(fraction)], names=[x.split()[0] for x in SCHEMA.split(", ")])
                 n += size
+                if self.most and n >= self.most:
+                    return
         except (ValueError, zlib.error, zstandard.ZstdError, OSError) as e:
             raise ValueError(f"{r.path}: {e}") from e
 
 
-def read_lines(spark: SparkSession, paths: list[str], keys: bool = False) -> tuple[DataFrame, bool]:
+def read_lines(spark: SparkSession, paths: list[str], keys: bool = False, most: int = 0) -> tuple[DataFrame, bool]:
     """(file, part, place, line, seconds, fraction) of files at qualified paths, and whether some are in several parts.
 
     file is the place in `paths`; lines of a file stand by part and place. With `keys`, seconds
     and fraction are the largest timestamp so far in the part; what comes before the first is zero.
+    With `most`, only the first batches of each file are read, up to so many lines.
     """
     ship(spark)
     spark.dataSource.register(LineSource)
     sizes = [system.get_file_info(inner).size or 0 for system, inner in map(file_system, paths)]
     step = max(RANGE, sum(sizes) // MOST)
-    listed = [(r.file, r.path, r.kind, r.part, r.offset, r.length) for i, p in enumerate(paths) for r in ranges(i, p, step)]
-    rows = spark.read.format("braidlog_lines").option("ranges", json.dumps(listed)).option("keys", "true" if keys else "false").load()
+    listed = [(r.file, r.path, r.kind, r.part, r.offset, r.length) for i, p in enumerate(paths) for r in ranges(i, p, step) if not (most and r.part)]
+    rows = spark.read.format("braidlog_lines").option("ranges", json.dumps(listed)).option("keys", "true" if keys else "false").option("most", str(most)).load()
     return rows, any(x[3] for x in listed)
 
 

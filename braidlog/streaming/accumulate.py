@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from braidlog.functions.names import day_file_name
 from braidlog.operators.reports import printed, selected
 from braidlog.plans.days import MergeReport, merge
-from braidlog.plans.templates import empty, ingest, per_node
+from braidlog.plans.templates import empty, ingest_files, per_node
 from braidlog.session import ship
 from braidlog.sources.catalogue import load, save
-from braidlog.sources.lines import discover, scan_any
+from braidlog.sources.lines import discover
 from braidlog.sources.storage import Storage
 from braidlog.streaming.names import NameSource
 
@@ -29,7 +29,7 @@ def fold_batch(spark: SparkSession, state: str, paths: list[str], batch: int, de
     if catalogue.batch is not None and catalogue.batch >= batch:
         return False
     if paths:
-        catalogue = ingest(catalogue, scan_any(spark, paths))
+        catalogue = ingest_files(catalogue, spark, paths)
     catalogue.batch = batch
     save(catalogue, state)
     return True
