@@ -15,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidlog.llm.tables import settled
+from braidlog.llm.tables import broadcast_if_few, settled
 from braidlog.operators.scans import placed
 
 #: Levels of a path that are looked up for one node.
 LEVELS = 3
+#: Trees that are broadcast at most; each has a few numbers and one path.
+TREES = 10_000
 #: The name of the tree over the languages; their own are NO_LANG, or LANG and the language, in the order of languages.
 ROOT, NO_LANG, LANG = "2", "0", "1"
 
@@ -52,7 +54,7 @@ def levels(leaves: DataFrame, arity: int) -> tuple[DataFrame, DataFrame]:
         level = len(all_sizes)
         run = nodes.withColumn("run", F.floor(F.col("place") / arity)).groupBy("tree", "run").agg(F.array_sort(F.collect_list(F.struct("place", "digest"))).alias("nodes"))
         # a tree that has come to one node stops: its only run is of that one, at its first place
-        trees = all_sizes[-1].where("n > 1").select("tree")
+        trees = broadcast_if_few(all_sizes[-1].where("n > 1").select("tree"), TREES)
         nodes = settled(run.join(trees, "tree", "left_semi").select("tree", F.lit(level).alias("level"), F.col("run").alias("place"), digest(F.array_join("nodes.digest", "")).alias("digest")))
         all_nodes = all_nodes.unionAll(nodes)
         all_sizes.append(all_sizes[-1].where("n > 1").select("tree", F.lit(level).alias("level"), F.ceil(F.col("n") / arity).alias("n")))
@@ -70,7 +72,7 @@ def _paths(nodes: DataFrame, sizes: DataFrame, above: DataFrame, arity: int, fir
     """
     heights = sizes.groupBy("tree").agg(F.max("level").alias("height"))
     counted = sizes.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("sizes"))
-    known = settled(heights.join(counted, "tree").join(above, "tree"))
+    known = broadcast_if_few(settled(heights.join(counted, "tree").join(above, "tree")), TREES)
     top = heights.agg(F.max("height")).first()[0] or 0
     schema = "tree string, place bigint, path array<struct<left:string,right:string>>"
     upper = nodes.sparkSession.createDataFrame([], schema)
@@ -112,7 +114,7 @@ def manifest(docs: DataFrame, tampered: Column, arity: int = 8) -> DataFrame:
         leaf_of(F.col("text")).alias("digest"),
         F.when(tampered.isNotNull(), leaf_of(tampered)).alias("other"),
     )
-    leaves = settled(placed(leaves, ["tree"], ["doc_id", "digest"]))
+    leaves = settled(placed(settled(leaves), ["tree"], ["doc_id", "digest"]))
     nodes, sizes = levels(leaves, arity)
     subroots = settled(nodes.join(sizes.where("n = 1").select("tree", "level"), ["tree", "level"]).select("tree", F.col("digest").alias("subroot")))
     langs = settled(placed(subroots.withColumn("one", F.lit(1)), ["one"], ["tree"]).drop("one"))
@@ -124,10 +126,11 @@ def manifest(docs: DataFrame, tampered: Column, arity: int = 8) -> DataFrame:
     of_runs = _paths(nodes, sizes, above, arity, 1)
     # a run's leaves have each other
     runs = leaves.withColumn("run", F.floor(F.col("place") / arity)).groupBy("tree", "run").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "doc_id", "other"))).alias("members"))
-    lone = sizes.where("level = 0 and n = 1").select("tree", F.lit(True).alias("lone"))
+    lone = sizes.where("level = 0").select("tree", (F.col("n") == 1).alias("lone"))
+    of_trees = broadcast_if_few(lone.join(subroots, "tree"), TREES)
     small = sizes.groupBy("tree").agg(F.max("level").alias("height")).where("height <= 1").select("tree").join(above, "tree").select("tree", F.lit(0).cast("long").alias("place"), "path")
     upper = of_runs.unionAll(small)
-    joined = runs.join(upper.withColumnRenamed("place", "run"), ["tree", "run"]).join(lone, "tree", "left").join(subroots, "tree").withColumn("member", F.explode("members"))
+    joined = runs.join(upper.withColumnRenamed("place", "run"), ["tree", "run"]).join(of_trees, "tree").withColumn("member", F.explode("members"))
     beside = lambda left: F.array_join(F.transform(F.filter("members", lambda s: (s["place"] < F.col("member.place")) if left else (s["place"] > F.col("member.place"))), lambda s: s["digest"]), "")
     own = F.when(F.col("lone"), nothing).otherwise(F.array(F.struct(beside(True).alias("left"), beside(False).alias("right"))))
     rows = joined.select(F.col("member.doc_id").alias("doc_id"), F.col("member.digest").alias("leaf"), F.col("member.other").alias("other"), "subroot", F.concat(own, "path").alias("proof"))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from braidlog.session import settled, ship
 
-__all__ = ["dealt_anew", "settled", "table"]
-
+__all__ = ["broadcast_if_few", "dealt_anew", "settled", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +23,8 @@ def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     adaptive execution only splits a frequent key between two exchanges.
     """
     return df.withColumn(key, F.col(key).bitwiseOR(F.lit(0).cast("long")))
+
+
+def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
+    """`df`, to be broadcast if it has `most` rows or fewer; more are joined like any other."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
