@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from braidlog.llm.tables import settled
 from braidlog.llm.words import slices
+from braidlog.session import ship
 
 #: Pieces in a partition, in every round.
 PIECES = 8_000
@@ -211,6 +212,7 @@ def pack(docs: DataFrame, vocabulary: str, end: int = 2, size: int = 1024, piece
     the size of `docs` and however badly lengths fit.
     """
     spark = docs.sparkSession
+    ship(spark)
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     cut = settled(docs.select("doc_id", "text").mapInArrow(_pieces(spark.sparkContext.broadcast(vocabulary), end, size), schema))
     pools = -(-cut.count() // pieces) or 1

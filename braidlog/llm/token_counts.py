@@ -18,6 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from braidlog.llm.words import NOT_BLANK, joined, over_slices, spans
+from braidlog.session import ship
+
+#: So many words are followed byte by byte while they have more than LONG bytes left: array calls on few elements cost more.
+FEW, LONG = 4, 256
 
 _automata: dict[int, Automaton] = {}
 
@@ -62,6 +66,7 @@ class Automaton:
         self.fail, self.pops = np.array(fail, dtype=np.int32), np.array(pops, dtype=np.int32)
         keys = np.array([at << 8 | b for at, c in enumerate(children) for b in c], dtype=np.int64)
         values = np.array([to for c in children for to in c.values()], dtype=np.int32)
+        self.child: dict[int, int] | None = None  # made where a word is long
         self.bits = int(len(keys) * 3).bit_length()
         self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -92,6 +97,22 @@ class Automaton:
             look, slot = look[on], slot[on]
         return out
 
+    def _along(self, word: bytes, node: int, total: int) -> tuple[int, int]:
+        """Node and count after the rest of one word, a byte at a time."""
+        if self.child is None:
+            used = self.keys >= 0
+            self.child = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+            self.links = self.fail.tolist(), self.pops.tolist()
+        child, (fail, pops) = self.child.get, self.links
+        for b in word:
+            to = child(node << 8 | b)
+            while to is None:
+                total += pops[node]
+                node = fail[node]
+                to = child(node << 8 | b)
+            node = to
+        return node, total
+
     def counts(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """How many pieces each word is cut into."""
         order = np.argsort(begins - ends, kind="stable")  # longest first: those still running are a prefix
@@ -99,6 +120,10 @@ class Automaton:
         nodes, total = np.zeros(len(at), dtype=np.int32), np.zeros(len(at), dtype=np.int64)
         running = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right")
         for i, n in enumerate(running.tolist()):
+            if n <= FEW and len(running) - i > LONG:
+                for k in range(n):
+                    nodes[k], total[k] = self._along(data[at[k] + i : at[k] + sizes[k]].tobytes(), int(nodes[k]), int(total[k]))
+                break
             b = data[at[:n] + i]
             new = self.step(nodes[:n], b)
             stuck = np.flatnonzero(new < 0)
@@ -138,8 +163,10 @@ def token_counts(docs: DataFrame, vocabulary: bytes) -> DataFrame:
 
     Words are runs of anything but ASCII blanks, as UTF-8 bytes. vocabulary is the content of a
     file as in pieces_of. Null, empty and blank texts count 0; repeated rows and rows without a
-    doc_id are counted like any other; other columns are ignored. No rows are moved.
+    doc_id are counted like any other; an empty table gives no rows; other columns are ignored. Texts and words of
+    any length are taken whole, in memory of a few times the longest text. No rows are moved.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidlog.llm.tables import settled
+from braidlog.session import ship
 
 SHARD, LEAF = 8192, 128
 EXACT = 2.0**53
@@ -176,6 +177,7 @@ def top_k(vectors: DataFrame, every: int, k: int, scale: float = 64.0, shard_row
     A task holds a tree over about `shard_rows` vectors and streams the queries past it. The
     result of a query is merged from at most k rows of each shard.
     """
+    ship(vectors.sparkSession)
     good = (
         vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
         .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
