@@ -77,8 +77,8 @@ def _opened_by_tasks(spark: SparkSession, paths: list[str]) -> list[str] | None:
 
 
 def _numbered(raw: DataFrame) -> DataFrame:
-    """Lines with their place in the file, from 1. A file's lines meet in one task, as a compressed file's must."""
-    order = Window.partitionBy("file").orderBy("block", "place")
+    """Lines with their place in the file, from 1. A file's lines meet in one task; paths tell files apart."""
+    order = Window.partitionBy("path").orderBy("block", "place")
     return raw.withColumn("line_no", F.row_number().over(order).cast("long")).select("file", "line_no", F.col("value").cast("binary").alias("line"))
 
 
@@ -91,7 +91,7 @@ def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], SCHEMA)
     raw = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "false").text([escaped(p) for p in paths])
-    return _numbered(raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")))
+    return _numbered(raw.select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")))
 
 
 def escaped(path: str) -> str:
