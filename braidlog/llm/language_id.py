@@ -18,6 +18,8 @@ from braidlog.llm.words import U64, constants, hashes, mix, over_slices, spans
 from braidlog.session import ship
 
 SIZES = (5, 4, 3, 2, 1)
+#: Words that are scored at once.
+STRETCH = 100_000
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -155,8 +157,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     learned no language. Else it is the language with the largest mean over all words of the
     text, the first in order of equals, and score its share of the exponentials of the sums
     over at most 20 words' worth. Repeated rows fare alike; an empty table gives no rows; columns
-    of `docs` named lang_pred or score are replaced. Texts are taken whole, in memory of some 50
-    times the longest one's. The model is as large as its sample's bound allows.
+    of `docs` named lang_pred or score are replaced. Texts are taken whole, their words a stretch at a
+    time, in memory of some ten times the longest one's. The model is as large as its sample's bound allows.
     """
     ship(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
@@ -165,11 +167,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
         data, text_begins, begins, ends = _joined(batch.column("text").to_pylist())
-        bounds = np.searchsorted(begins, text_begins)
-        counts = np.diff(bounds)
-        scores = model.word_scores(data, begins, ends) if model.languages else np.zeros((len(begins), 1), dtype=np.float32)
-        sums = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)))
-        means = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(counts, 1)[:, None]
+        counts = np.diff(np.searchsorted(begins, text_begins))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        sums = np.zeros((len(counts), max(1, len(model.languages))))
+        for at in range(0, len(begins) if model.languages else 0, STRETCH):
+            part = slice(at, at + STRETCH)
+            scores = model.word_scores(data, begins[part], ends[part])
+            for j in range(scores.shape[1]):
+                sums[:, j] += np.bincount(owner[part], weights=scores[:, j], minlength=len(counts))
+        means = sums / np.maximum(counts, 1)[:, None]
         best = means.argmax(axis=1)
         z = np.exp((means - means.max(axis=1, keepdims=True)) * np.minimum(counts, 20)[:, None])
         sure = z.max(axis=1) / z.sum(axis=1)

@@ -17,6 +17,8 @@ from braidlog.llm.words import over_slices
 from braidlog.session import ship
 
 CELL, LAGS, FILTERS, HALF = 8, 24, 16, 32  # a chunk is two halves of HALF cells
+#: Cells of a long text that are held at once, a multiple of HALF.
+STRETCH = 1 << 16
 WIDTH = CELL * 8 + 2
 
 
@@ -39,7 +41,8 @@ def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of all cells, with an empty one after each text, and the number of cells of each text, that one included."""
     counts = np.array([-(-len(t) // CELL) + 1 for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(t.ljust(int(n) * CELL, b"\0") for t, n in zip(texts, counts, strict=True)), dtype=np.uint8)
-    real = np.concatenate([np.arange(int(n) * CELL) < len(t) for t, n in zip(texts, counts, strict=True)]) if texts else np.empty(0, dtype=bool)
+    place = np.concatenate([np.arange(int(n) * CELL, dtype=np.int32) for n in counts]) if texts else np.empty(0, dtype=np.int32)
+    real = place < np.repeat([len(t) for t in texts], counts * CELL)
     x = np.zeros((len(data) // CELL, WIDTH), dtype=np.float32)
     x[:, : CELL * 8] = np.where(real, _CLASSES[data], np.uint64(0)).view(np.uint8).reshape(-1, CELL * 8)
     best = np.zeros(len(x), dtype=np.uint8)
@@ -48,7 +51,7 @@ def cells(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             break
         same = np.zeros(len(data), dtype=bool)
         np.equal(data[lag:], data[:-lag], out=same[lag:])
-        same &= real
+        same &= real & (place >= lag)  # of the same text
         np.maximum(best, np.bitwise_count(same.view(np.uint64)), out=best)
     x[:, CELL * 8] = best / CELL
     x[:, CELL * 8 + 1] = best == CELL
@@ -77,13 +80,34 @@ class Network:
 
     def forward(self, x: np.ndarray, counts: np.ndarray, keep: bool = False):
         """Probability of label 1 of each text."""
-        a = x @ self.p["w"][0] + self.p["b"]
-        a[:-1] += x[1:] @ self.p["w"][1]
-        np.maximum(a, 0, out=a)
+        a = self._activations(x, np.cumsum(counts) - 1)
         begins, per_text, sizes = self._halves(counts)
-        sums = np.add.reduceat(a, begins, axis=0)
+        return self._pooled(np.add.reduceat(a, begins, axis=0), per_text, sizes, (a, begins) if keep else None)
+
+    def _activations(self, x: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Outputs of the filters at each cell; those of a text's `last` cell see no other text's."""
+        after = x[1:] @ self.p["w"][1]
+        after[last[last < len(after)]] = 0
+        a = x @ self.p["w"][0] + self.p["b"]
+        a[:-1] += after
+        return np.maximum(a, 0, out=a)
+
+    def score(self, text: bytes) -> float:
+        """Probability of label 1 of one text, however long, a stretch of cells at a time."""
+        n, sums = -(-len(text) // CELL) + 1, []
+        for at in range(0, n, STRETCH):
+            m, lead = min(STRETCH, n - at), min(LAGS // CELL, at)
+            # the cells before tell of repetition, the one after belongs to the last filter's width
+            x = cells([text[(at - lead) * CELL : (at + m + 1) * CELL]])[0][lead : lead + m + 1]
+            a = self._activations(x, np.array([len(x) - 1]))[:m]
+            sums.append(np.add.reduceat(a, np.arange(0, m, HALF), axis=0))
+        sizes = np.full(-(-n // HALF), HALF)
+        sizes[-1] = n - HALF * (len(sizes) - 1)
+        return float(self._pooled(np.concatenate(sums), np.array([len(sizes)]), sizes)[0])
+
+    def _pooled(self, sums: np.ndarray, per_text: np.ndarray, sizes: np.ndarray, keep: tuple | None = None):
         last = np.cumsum(per_text) - 1
-        follows = np.ones(len(begins), dtype=bool)
+        follows = np.ones(len(sums), dtype=bool)
         follows[last] = False
         after = np.concatenate((sums[1:], sums[-1:])) * follows[:, None]
         total = (sizes + np.concatenate((sizes[1:], [0])) * follows)[:, None]
@@ -94,7 +118,7 @@ class Network:
         top = np.maximum.reduceat(chunk, np.concatenate(([0], last[:-1] + 1)), axis=0)
         z = top @ self.p["u"] + self.p["c"]
         prob = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-        return (prob, (a, begins, per_text, sizes, follows, total, chunk, top)) if keep else prob
+        return (prob, (*keep, per_text, sizes, follows, total, chunk, top)) if keep else prob
 
     def gradients(self, x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         prob, (a, begins, per_text, sizes, follows, total, chunk, top) = self.forward(x, counts, keep=True)
@@ -107,7 +131,9 @@ class Network:
         d[1:] += d[:-1] * follows[:-1, None]
         da = np.repeat(d, sizes, axis=0).astype(np.float32) * (a > 0)
         g["b"] = da.sum(axis=0)
-        g["w"] = np.stack((x.T @ da, x[1:].T @ da[:-1]))
+        inner = da[:-1].copy()
+        inner[np.cumsum(counts)[:-1] - 1] = 0
+        g["w"] = np.stack((x.T @ da, x[1:].T @ inner))
         return g
 
 
@@ -140,8 +166,9 @@ def train(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 32, seed
 def quality(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
     """Per row of `docs`: all its columns, then score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
-    The whole of each text is scored. Null and empty texts are one empty cell and get its
-    score; repeated rows are scored alike. Columns of `docs` named score or predicted are
+    The whole of each text is scored, long ones a stretch at a time, in memory of a few times
+    the text. Null and empty texts are one empty cell and get its score; repeated rows are scored
+    alike; an empty table gives no rows. Columns of `docs` named score or predicted are
     replaced. The network has a fixed size.
     """
     ship(docs.sparkSession)
@@ -149,7 +176,8 @@ def quality(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = shared.value.forward(*cells([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]))
+        net, texts = shared.value, [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        got = [net.score(texts[0])] if len(texts) == 1 else net.forward(*cells(texts))  # a long text is a slice by itself
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, type=pa.float64())], names=[*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

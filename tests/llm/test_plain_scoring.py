@@ -34,7 +34,7 @@ def table(counts, least):
     return {k: [math.log((c[k] + 0.1) / (sum(c.values()) + 0.1 * max(1, len(keys)))) for c in counts.values()] for k in keys}
 
 
-def test_language_id_equals_plain_backoff(spark):
+def test_language_id_equals_plain_backoff(spark, monkeypatch):
     from braidlog.llm.language_id import SIZES, Model, identify
 
     rng = random.Random(2)
@@ -54,6 +54,7 @@ def test_language_id_equals_plain_backoff(spark):
         return [0.0] * len(langs)
 
     texts = [made(rng.choice(langs), rng.randrange(1, 40)) + rng.choice(["", " Unseen wörds", "12 3?"]) for _ in range(60)] + ["", "12 34", None, "ζζζ 日本語", "ÜBERKEIT"]
+    monkeypatch.setattr("braidlog.llm.language_id.STRETCH", 7)
     rows = identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Model(sample)).collect()
     for r in rows:
         found = [scores(w) for w in words_of(r["text"] or "")]
@@ -102,6 +103,32 @@ def test_toxicity_fit_and_score_equal_plain_loops(spark):
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5) and r["predicted"] == (r["score"] >= 0.5)
 
 
+def test_quality_of_a_text_is_its_own_and_long_texts_go_in_stretches(monkeypatch):
+    from braidlog.llm import quality as q
+
+    rng, net = random.Random(9), q.Network()
+    net.p["c"][0] = 0.3
+    texts = [bytes(rng.choices(b"ab, Z9\n\xc3", k=n)) * k for n, k in ((0, 1), (3, 1), (8, 9), (31, 40), (255, 1), (256, 3), (257, 20), (5000, 1), (12_345, 2))]
+    together = net.forward(*q.cells(texts))
+    monkeypatch.setattr(q, "STRETCH", 2 * q.HALF)
+    for text, score in zip(texts, together, strict=True):
+        assert net.forward(*q.cells([text]))[0] == pytest.approx(score, abs=1e-6)
+        assert net.score(text) == pytest.approx(score, abs=1e-5)
+    # plain loops over cells and chunks
+    w0, w1, b = net.p["w"][0].astype(float), net.p["w"][1].astype(float), net.p["b"].astype(float)
+    for text, score in zip(texts, together, strict=True):
+        x = q.cells([text])[0].astype(float)
+        a = [np.maximum(x[i] @ w0 + (x[i + 1] @ w1 if i + 1 < len(x) else 0) + b, 0) for i in range(len(x))]
+        chunks = [a[i : i + 2 * q.HALF] for i in range(0, len(a), q.HALF)]
+        chunks = chunks[:-1] if len(chunks) > 1 else chunks
+        top = np.max([np.mean(c, axis=0) for c in chunks], axis=0)
+        assert score == pytest.approx(1 / (1 + math.exp(-(top @ net.p["u"] + net.p["c"][0]))), abs=1e-5)
+        for i, row in enumerate(x[:-1]):
+            own = text[i * q.CELL : (i + 1) * q.CELL]
+            repeats = max(sum(i * q.CELL + k >= lag and text[i * q.CELL + k] == text[i * q.CELL + k - lag] for k in range(len(own))) for lag in range(1, q.LAGS + 1))
+            assert row[-2] == repeats / q.CELL
+
+
 def test_long_words_take_linear_time():
     from braidlog.llm import token_counts as c
 
