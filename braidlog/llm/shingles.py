@@ -7,10 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidlog.llm.tables import dealt_anew
+from braidlog.llm.tables import broadcast_if_few, dealt_anew
 from braidlog.llm.words import NOT_BLANK, U64, Texts, grams, lists, mix, over_slices
 from braidlog.session import ship
 
+#: Nodes that are broadcast at most: 16 bytes each.
+BROADCAST = 500_000
+
 
 def sets_of(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and how many each has."""
@@ -56,9 +59,13 @@ def nodes_of(sketch: DataFrame) -> DataFrame:
 
 
 def sets_of_nodes(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of `nodes` (node, least_id), one row each, however often a node's row is repeated."""
+    """(node, shingles) of `nodes` (node, least_id), one row each, however often a node's row is repeated.
+
+    Up to BROADCAST nodes are broadcast, so that no text moves; texts meet more of them by doc_id.
+    """
     ship(docs.sparkSession)
-    found = docs.select("doc_id", "text").join(nodes.select("node", F.col("least_id").alias("doc_id")), "doc_id").select("node", "text")
+    wanted = nodes.select("node", F.col("least_id").alias("doc_id"))
+    found = docs.select("doc_id", "text").join(broadcast_if_few(wanted, BROADCAST), "doc_id").select("node", "text")
     return found.mapInArrow(_checked_shingles(shingle), "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
