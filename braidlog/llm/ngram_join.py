@@ -7,8 +7,8 @@ only of rows that can be linked:
 1. Two linked sets of a and b grams differ in at most d(a, b) of them. A size class cuts the range
    of gram hashes into more stripes than that, so linked sets hold the same grams in one stripe at
    least, and that stripe's content is a bucket that has both. This is exact: no link is lost.
-2. Sets of a bucket stay candidates if parities of their grams in CELLS cells, which differ in at
-   most d(a, b) cells, allow it. What candidates connect is a row block.
+2. Sets of a bucket stay candidates if parities of their grams in cells, which differ in at most
+   d(a, b) cells, allow it. What candidates connect is a row block.
 3. In a row block, overlap counts are accumulated over stripes of columns. A pair is given up, or
    not begun, where its count and what is left of its smaller row cannot reach the size that the
    bound asks for. Pairs that reach it are links.
@@ -34,16 +34,17 @@ from braidlog.llm.tables import dealt_anew, settled
 from braidlog.llm.words import U64, lists, mix, over_slices
 from braidlog.session import ship
 
-#: Stripes beyond the least number: so many empty ones may be left out of a set's buckets.
-SPARE = 2
-#: Size classes span so many steps of the largest ratio that sizes of linked sets can have.
-STEPS = 3
-#: Cells of the parities.
+#: Size classes span so many steps of the largest ratio that sizes of linked sets can have: with
+#: one, stripes hold five grams or more on average, so that sets with a passage in common rarely meet.
+STEPS = 1
+#: Cells of the parities of a set, at least: it has a power of two that is twice its size or more.
 CELLS = 1024
 #: Sets, and grams, of a tile at most (a single larger set is a tile by itself).
-TILE_SETS, TILE_GRAMS = 2048, 2_000_000
+TILE_SETS, TILE_GRAMS = 4096, 500_000
+#: Sets of a run that is multiplied by itself, at least.
+ALONE = 64
 #: Pairs that are expanded at once, and columns multiplied at once.
-EXPANDED, COLUMNS = 4_000_000, 1024
+EXPANDED, COLUMNS = 1_000_000, 512
 
 
 def apart(both, percent: int):
@@ -56,6 +57,11 @@ def needed(both, percent: int):
     return -(-percent * both // (100 + percent))
 
 
+def spare(differing):
+    """Stripes beyond those that sets can differ in: so many empty ones a set may leave out of its buckets. Hardly one has more."""
+    return 3 + differing // 16
+
+
 def class_bounds(percent: int, most: int) -> np.ndarray:
     """Least size of each size class, up to the one that `most` is in and one more."""
     out = [1]
@@ -78,11 +84,12 @@ def stripes(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nd
     begins = np.concatenate(([0], np.cumsum(counts)))
     for step in range(int((last - own).max()) + 1):
         rank = own + step
-        n_stripes = apart(2 * (lows[rank + 1] - 1), percent) + 1 + SPARE
-        chosen = np.flatnonzero((rank <= last) & (n_stripes > 1 + SPARE) & (counts > 0))
+        differing = apart(2 * (lows[rank + 1] - 1), percent)
+        chosen = np.flatnonzero((rank <= last) & (differing > 0) & (counts > 0))
         if not len(chosen):
             continue
-        n, size = n_stripes[chosen], counts[chosen]
+        most_empty = spare(differing[chosen])
+        n, size = differing[chosen] + 1 + most_empty, counts[chosen]
         place = np.repeat(np.arange(len(chosen)), size)
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[chosen], size)
         hashes = values[at]
@@ -93,7 +100,7 @@ def stripes(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nd
         first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         content, filled, who = np.add.reduceat(mix(hashes ^ U64(0x2545F4914F6CDD1D)), first), cell[first], place[first]
         empty = n - np.bincount(who, minlength=len(chosen))
-        for i in np.flatnonzero(empty > SPARE):  # sets of few grams in few stripes
+        for i in np.flatnonzero(empty > most_empty):  # sets of few grams in few stripes
             rest = np.setdiff1d(np.arange(offset[i], offset[i] + n[i]), filled[who == i])
             content, filled, who = np.concatenate((content, np.zeros(len(rest), dtype=U64))), np.concatenate((filled, rest)), np.concatenate((who, np.full(len(rest), i)))
         name = (rank[chosen][who].astype(U64) << U64(40)) + (filled - offset[who]).astype(U64)
@@ -105,11 +112,14 @@ def stripes(values: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.nd
     return keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(counts))
 
 
-def parities(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """CELLS bits of each set: whether the number of its grams in a cell is odd. Sets differ in no more grams than cells, or more."""
-    cell = np.repeat(np.arange(len(counts)), counts) * CELLS + (mix(values + U64(0x632BE59BD9B4E019)) % U64(CELLS)).astype(np.int64)
-    odd = np.bincount(cell, minlength=len(counts) * CELLS).astype(np.uint8).reshape(-1, CELLS) & 1
-    return np.packbits(odd, axis=1)
+def parities(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A bit for each cell of each set: whether the number of its grams there is odd. Sets differ in no more cells than grams."""
+    cell, begins = mix(values + U64(0x632BE59BD9B4E019)), np.concatenate(([0], np.cumsum(counts)))
+    out = []
+    for lo, hi in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        cells = max(CELLS, 1 << (2 * (hi - lo) - 1).bit_length()) if hi > lo else CELLS
+        out.append(np.packbits(np.bincount((cell[lo:hi] & U64(cells - 1)).astype(np.int64), minlength=cells) & 1, bitorder="little").tobytes())
+    return out
 
 
 def _sketch(shingle: int, percent: int):
@@ -128,7 +138,7 @@ def _sketch(shingle: int, percent: int):
             found, n = stripes(own, counts[block], percent)
             buckets.append(found)
             listed[block] = n
-            bits += [x.tobytes() for x in parities(own, counts[block])] if len(block) else []
+            bits += parities(own, counts[block])
         shown = np.full(len(counts), None, dtype=object)
         shown[lead] = bits
         return pa.RecordBatch.from_arrays(
@@ -188,12 +198,46 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ends, label[ends]
 
 
-def allowed_pairs(group: np.ndarray, size: np.ndarray, parity: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+class Parities:
+    """The parities of many sets; of two, the one of more cells is folded to the other's."""
+
+    def __init__(self, rows: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in rows])
+        self.of_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # words of all sets of this width or more, and their places
+        place, words = np.empty(0, dtype=np.int64), np.empty((0, 0), dtype=U64)
+        for width in sorted(set(self.width.tolist()), reverse=True):
+            while len(place) and words.shape[1] > width:
+                half = words.shape[1] // 2
+                words = words[:, :half] ^ words[:, half:]
+            own = np.flatnonzero(self.width == width)
+            new = np.frombuffer(b"".join(rows[i] for i in own), dtype=U64).reshape(len(own), width)
+            words, place = np.concatenate((words, new)) if len(place) else new, np.concatenate((place, own))
+            at = np.full(len(rows), -1)
+            at[place] = np.arange(len(place))
+            self.of_width[width] = at, words
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many cells the sets i and j differ, pair by pair."""
+        out, least = np.zeros(len(i), dtype=np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(least).tolist():
+            own = np.flatnonzero(least == width)
+            at, words = self.of_width[width]
+            for part in np.array_split(own, max(1, len(own) * width // EXPANDED)):
+                out[part] = np.bitwise_count(words[at[i[part]]] ^ words[at[j[part]]]).sum(axis=1)
+        return out
+
+
+def allowed_pairs(group: np.ndarray, size: np.ndarray, parity: Parities, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span, in each run of `group`, the pairs whose parities let them be linked."""
-    words = parity.view(U64)
     begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     length = np.diff(np.concatenate((begins, [len(group)])))
-    fit = lambda i, j: (percent * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])) & (np.bitwise_count(words[i] ^ words[j]).sum(axis=-1) <= apart(size[i] + size[j], percent))
+
+    def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = percent * np.maximum(size[i], size[j]) <= 100 * np.minimum(size[i], size[j])
+        near = np.flatnonzero(out)
+        out[near] = parity.differing(i[near], j[near]) <= apart(size[i[near]] + size[j[near]], percent)
+        return out
+
     found_a, found_b = [], []
     run = np.repeat(length, length)
     for step in range(1, min(32, int(length.max(initial=1)))):  # runs of up to 32, all at once
@@ -213,7 +257,26 @@ def allowed_pairs(group: np.ndarray, size: np.ndarray, parity: np.ndarray, perce
 
 
 def linked_pairs(group: np.ndarray, size: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span, in each run of `group`, the links of its sets: `size[i]` of `values` each, end to end."""
+    """Edges that span, in each run of `group`, the links of its sets: `size[i]` of `values` each, end to end.
+
+    Runs of many sets are multiplied one by one, all others together.
+    """
+    begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    length = np.diff(np.concatenate((begins, [len(group)])))
+    at = np.concatenate(([0], np.cumsum(size)))
+    found = []
+    for lo, n in zip(begins[length > ALONE].tolist(), length[length > ALONE].tolist(), strict=True):
+        a, b = _product(group[lo : lo + n], size[lo : lo + n], values[at[lo] : at[lo + n]], percent)
+        found.append((lo + a, lo + b))
+    rest = np.flatnonzero(np.repeat(length <= ALONE, length))
+    if len(rest):
+        of_rest = np.repeat(np.isin(np.arange(len(size)), rest), size)
+        a, b = _product(group[rest], size[rest], values[of_rest], percent)
+        found.append((rest[a], rest[b]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (begins[:0], begins[:0])
+
+
+def _product(group: np.ndarray, size: np.ndarray, values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(size)), size)
     gram = mix(values + mix(group.astype(np.int64).view(U64))[row])  # no two groups have a column in common
     order = np.argsort(gram, kind="stable")
@@ -235,7 +298,8 @@ def linked_pairs(group: np.ndarray, size: np.ndarray, values: np.ndarray, percen
 def _dense(row: np.ndarray, column: np.ndarray, n_columns: int, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that share enough, where most rows share many columns: stripes of the matrix multiplied whole."""
     n = len(size)
-    need = needed(size[:, None] + size[None, :], percent).astype(np.float32)
+    small = size.astype(np.int32)
+    need = needed(small[:, None] + small[None, :], percent).astype(np.float32)
     shared, left = np.zeros((n, n), dtype=np.float32), np.bincount(row, minlength=n).astype(np.float32)
     bounds = np.searchsorted(column, np.arange(0, n_columns + COLUMNS, COLUMNS))
     for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
@@ -319,44 +383,57 @@ def _tiles(compare: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarra
     return run
 
 
-def _connected(members: DataFrame, weight: str, limit: int, compare: Callable) -> DataFrame:
-    """Edges (a, b) that connect what the links within groups of `members` (group, node, weight, ...) do.
+def _connected(members: DataFrame, payload: DataFrame, weight: str, limit: int, compare: Callable) -> DataFrame:
+    """Edges (a, b) that connect what the links within groups of `members` (group, node, weight) do.
 
     Groups are dealt out in tiles of about `limit` of weight and TILE_SETS members, each with
     the group's hub, its largest set. Where that leaves a group in several components, what is
     outside the main one is tiled again, and each such tile is compared with every tile.
+    `payload` (node, ...), what sets are compared by, only moves to the tiles.
     """
     kernel = _tiles(compare, weight, limit)
+    members = members.select("group", "node", weight)
     sizes = settled(members.groupBy("group").agg(F.ceil(F.greatest(F.sum(weight) / limit, F.count("*") / TILE_SETS)).cast("long").alias("n_tiles"), F.max(F.struct(weight, "node"))["node"].alias("hub")))
     many = sizes.where("n_tiles > 1")
     tiled = members.join(dealt_anew(sizes, "group"), "group").withColumn("tile", F.pmod(F.xxhash64("node"), "n_tiles"))
-    hubs = members.join(dealt_anew(many, "group"), "group").where("node = hub").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1))).where(F.pmod(F.xxhash64("node"), "n_tiles") != F.col("tile"))
+    again = not many.isEmpty()
+    if again:  # the only case in which it is used twice
+        payload, tiled = settled(payload), settled(tiled)
 
     def compared(rows: DataFrame) -> DataFrame:
-        return rows.select(*members.columns, "tile").repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(kernel, "a bigint, b bigint")
-
-    edges = settled(compared(tiled.unionByName(hubs)))
-    if many.isEmpty():
-        return edges
+        rows = rows.select("group", "node", weight, "tile").join(payload, "node")
+        return rows.repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(kernel, "a bigint, b bigint")
+
+    if not again:
+        return settled(compared(tiled))
+    every_tile = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    hubs = tiled.where("node = hub and n_tiles > 1").withColumn("own", F.col("tile")).withColumn("tile", every_tile("n_tiles")).where("tile <> own")
+    edges = settled(compared(tiled.drop("n_tiles", "hub").unionByName(hubs.drop("n_tiles", "hub", "own"))))
     roots = settled(components(edges))
-    rooted = settled(tiled.join(dealt_anew(many.select("group"), "group"), "group", "left_semi").select("group", "node", "tile").join(dealt_anew(roots, "node"), "node", "left").select("group", "node", "tile", F.coalesce("root", "node").alias("root")))
+    rooted = settled(tiled.where("n_tiles > 1").join(dealt_anew(roots, "node"), "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")))
     main = rooted.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("n_roots")).where("n_roots > 1")
-    minor = rooted.join(dealt_anew(main, "group"), "group").where("root <> main").select("group", "node")
+    minor = settled(rooted.join(dealt_anew(main, "group"), "group").where("root <> main").select("group", "node"))
     if minor.isEmpty():
         return edges
-    counted = minor.groupBy("group").agg(F.ceil(F.count("*") / (TILE_SETS // 2)).cast("long").alias("n_minor"))
-    few = settled(minor.join(dealt_anew(counted, "group"), "group").withColumn("minor_tile", F.pmod(F.xxhash64("node", F.lit(7)), "n_minor")))
-    n_minor = few.groupBy("group").agg(F.max("n_minor").alias("n_minor"))
-    others = tiled.join(dealt_anew(n_minor, "group"), "group").withColumn("minor_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_minor") - 1)))
-    asking = tiled.join(dealt_anew(few.select("group", "node", "minor_tile", "n_minor"), "node"), ["group", "node"]).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1))).where("with <> tile")
-    pair = lambda df, tile: df.select(*members.columns, (F.col(tile) * F.col("n_minor") + F.col("minor_tile")).alias("tile"))
-    return settled(edges.unionAll(compared(pair(others, "tile").unionByName(pair(asking, "with")))))
+    n_minor = settled(minor.groupBy("group").agg(F.ceil(F.count("*") / (TILE_SETS // 2)).cast("long").alias("n_minor")))
+    beside = settled(tiled.join(dealt_anew(n_minor, "group"), "group"))
+    others = beside.withColumn("minor", every_tile("n_minor"))
+    asking = beside.join(dealt_anew(minor, "node"), ["group", "node"], "left_semi").withColumn("minor", F.pmod(F.xxhash64("node", F.lit(7)), "n_minor"))
+    asking = asking.withColumn("own", F.col("tile")).withColumn("tile", every_tile("n_tiles")).where("tile <> own").drop("own")
+    pairs = others.unionByName(asking).withColumn("tile", F.col("tile") * F.col("n_minor") + F.col("minor"))
+    return settled(edges.unionAll(compared(pairs)))
+
+
+def _shrunk(met: DataFrame) -> DataFrame:
+    """(group, node): `met` (bucket, node) with buckets of the same nodes as one group; copies share very many."""
+    one = F.xxhash64(F.bit_xor(F.xxhash64("node")), F.count("*"), F.min("node"), F.max("node")).alias("group")
+    groups = met.groupBy("bucket").agg(one, F.count("*").alias("n")).where("n > 1").drop("n")
+    return met.join(dealt_anew(groups, "bucket"), "bucket").select("group", "node").distinct()
 
 
 def _by_parity(percent: int):
     def compare(rows: pa.Table, key: np.ndarray):
-        parity = np.frombuffer(b"".join(rows.column("parity").to_pylist()), dtype=np.uint8).reshape(-1, CELLS // 8)
-        return allowed_pairs(key, rows.column("size").to_numpy(), parity, percent)
+        return allowed_pairs(key, rows.column("size").to_numpy(), Parities(rows.column("parity").to_pylist()), percent)
 
     return compare
 
@@ -391,10 +468,11 @@ def ngram_join(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFram
     nodes = nodes_of(sketch)
     in_buckets = sketch.where(F.size("buckets") > 0)
     met = settled(in_buckets.select(F.explode("buckets").alias("bucket"), "node").repartitionByRange("bucket", "node").sortWithinPartitions("bucket", "node").mapInArrow(_shared, "bucket bigint, node bigint"))
+    groups = settled(_shrunk(met)).withColumn("one", F.lit(1).cast("long"))
     bits = in_buckets.groupBy("node").agg(F.max("n_shingles").alias("size"), F.max("parity").alias("parity"))
-    candidates = _connected(met.join(dealt_anew(bits, "node"), "node").select(F.col("bucket").alias("group"), "node", "size", "parity", F.lit(1).cast("long").alias("one")), "one", TILE_SETS, _by_parity(percent))
-    blocks = settled(components(candidates))
-    sets = settled(sets_of_nodes(docs, nodes.join(blocks.select("node"), "node"), shingle))
-    rows = blocks.join(dealt_anew(sets, "node"), "node").select(F.col("root").alias("group"), "node", F.size("shingles").cast("long").alias("size"), "shingles")
-    links = _connected(rows, "size", TILE_GRAMS, _by_product(percent))
+    blocks = settled(components(_connected(groups, bits, "one", TILE_SETS, _by_parity(percent))))
+    held = nodes.join(blocks, "node")
+    rows = settled(held.select(F.col("root").alias("group"), "node", F.col("n_shingles").alias("size")))
+    sets = sets_of_nodes(docs, held, shingle)
+    links = _connected(rows, sets, "size", TILE_GRAMS, _by_product(percent))
     return with_components(sketch, nodes, components(links))

@@ -100,6 +100,24 @@ def test_shared_buckets_whatever_the_batches():
         assert got == sorted((b, n) for b, ns in of.items() for n in ns if len(ns) > 1 or b in edge)
 
 
+def test_large_and_small_runs_in_one_call():
+    from braidlog.llm import ngram_join as j
+
+    rng = np.random.default_rng(3)
+    sets, group = [], []
+    for g, n in enumerate((3, 150, 2, 90, 1)):
+        base = rng.integers(0, 1 << 62, 60)
+        sets += [np.unique(np.concatenate((base[rng.integers(0, 5) :], rng.integers(0, 1 << 62, rng.integers(0, 6))))).astype(np.uint64) for _ in range(n)]
+        group += [g] * n
+    size, values, group = np.array([len(s) for s in sets]), np.concatenate(sets), np.array(group)
+    a, b = np.triu_indices(len(sets), 1)
+    keep = group[a] == group[b]
+    linked = [(i, k) for i, k in zip(a[keep].tolist(), b[keep].tolist(), strict=True) if 100 * (x := len(np.intersect1d(sets[i], sets[k], assume_unique=True))) >= 85 * (size[i] + size[k] - x)]
+    want = j.spanning(len(sets), *(np.array(x) for x in zip(*linked, strict=True)))
+    got = j.linked_pairs(group, size, values, 85)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(*(x.tolist() for x in want), strict=True))
+
+
 def test_product_both_ways_and_in_stripes(monkeypatch):
     from braidlog.llm import ngram_join as j
 
