@@ -41,6 +41,8 @@ STEPS = 1
 CELLS = 1024
 #: Sets, and grams, of a tile at most (a single larger set is a tile by itself).
 TILE_SETS, TILE_GRAMS = 4096, 500_000
+#: The largest set whose counts, times 200, are exact in 32 bits.
+EXACT = 8_000_000
 #: Sets of a run that is multiplied by itself, at least.
 ALONE = 64
 #: Pairs that are expanded at once, and columns multiplied at once.
@@ -288,7 +290,8 @@ def _product(group: np.ndarray, size: np.ndarray, values: np.ndarray, percent: i
         return spanning(0, begins, begins)
     at = np.repeat(begins - np.cumsum(length) + length, length) + np.arange(length.sum())
     row, column = row[at], np.repeat(np.arange(len(begins)), length)
-    if (group == group[0]).all() and (length * (length - 1) // 2).sum() > 4 * len(size) ** 2:
+    # counts of sets beyond EXACT are not taken in single precision
+    if (group == group[0]).all() and size.max() <= EXACT and (length * (length - 1) // 2).sum() > 4 * len(size) ** 2:
         found = _dense(row, column, len(begins), size, percent)
     else:
         found = _sparse(row, length, size, percent)
