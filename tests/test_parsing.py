@@ -93,3 +93,19 @@ def test_json_text(spark):
     assert [state_float(x) for x in (0.5, 1.0, 1e-7, 1.5e-9, 1e22, 123456789.25, 2.5e20)] == ["0.5", "1.0", "0.0000001", "0.0000000015", "10000000000000000000000.0", "123456789.25", "250000000000000000000.0"]
     with pytest.raises(ValueError):
         state_float(float("inf"))
+
+
+LONG = "".join(map(chr, range(32))) + "no control in a long text " * 60_000
+
+
+def _linear(spark, string, short):
+    import time
+
+    began = time.time()
+    got = spark.createDataFrame([(LONG,)], "t string").select(string(F.col("t")).alias("j")).first()["j"]
+    assert got == '"' + "".join(short.get(c) or (f"\\u{ord(c):04x}" if ord(c) < 32 else c) for c in LONG) + '"'
+    assert time.time() - began < 30
+
+
+def test_report_strings_of_long_texts_take_linear_time(spark):
+    _linear(spark, report_string, {"\n": "\\n", "\r": "\\r", "\t": "\\t"})
