@@ -109,3 +109,7 @@ def _linear(spark, string, short):
 
 def test_report_strings_of_long_texts_take_linear_time(spark):
     _linear(spark, report_string, {"\n": "\\n", "\r": "\\r", "\t": "\\t"})
+
+
+def test_catalogue_strings_of_long_texts_take_linear_time(spark):
+    _linear(spark, catalogue_string, {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"})
