@@ -145,3 +145,15 @@ def test_reports(spark):
     assert list(printed(selected(clusters))) == ["=== (no category) ===\n     1 \"q\"", "", "=== net ===\n   100 ping <PEER>", "", "=== validation ===\n    50 tip <FLOAT>"]
     assert list(printed(selected(clusters, min_count=2, categories=["net", "x"], top=1), json=True)) == ['{"category":"net","count":100,"first_seen":"2026-05-15T00:00:00Z","template":"ping <PEER>"}']
     assert list(printed(selected(clusters, categories=["none"]))) == []
+
+
+def test_many_leaves_of_one_row_cost_little(spark):
+    import time
+
+    n = 20_000
+    rows = [(None, None, i, None, [f"0w{i}", f"0{i % 7}", "0a", "102"]) for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    began = time.time()
+    got = as_set(cluster(df))
+    assert time.time() - began < 25
+    assert got == modelled(rows, 4, 0.5)
