@@ -157,3 +157,14 @@ def test_many_leaves_of_one_row_cost_little(spark):
     got = as_set(cluster(df))
     assert time.time() - began < 25
     assert got == modelled(rows, 4, 0.5)
+
+
+def test_slots_that_agree_in_all_places_are_not_folded(spark, monkeypatch):
+    from braidlog.operators import clustering as K
+
+    def folds(threshold):
+        raise AssertionError("folded")
+
+    monkeypatch.setattr(K, "_kernel", folds)
+    rows = random_rows(31, 400)
+    assert as_set(cluster(spark.createDataFrame(rows, SCHEMA), 4, 1.0)) == modelled(rows, 4, 1.0)
