@@ -168,3 +168,30 @@ def test_slots_that_agree_in_all_places_are_not_folded(spark, monkeypatch):
     monkeypatch.setattr(K, "_kernel", folds)
     rows = random_rows(31, 400)
     assert as_set(cluster(spark.createDataFrame(rows, SCHEMA), 4, 1.0)) == modelled(rows, 4, 1.0)
+
+
+def test_a_leaf_of_many_rows_is_not_held():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from braidlog.operators import clustering as K
+
+    def batches(n):
+        for b in range(n):
+            seq = range(1000 * b, 1000 * b + 1000)
+            none = pa.nulls(1000, pa.string())
+            slots = pa.array([["0got", "0(", f"0height={i}x", "104", "0and"] for i in seq], pa.list_(pa.string()))
+            long = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_pydict({"node": none, "category": none, "slots": slots, "seq": long(seq), "last": long([K.END] * 1000), "n": long([1] * 1000), "first_seen": none, "last_seen": none, "seed": pa.nulls(1000, pa.int64()), "key": pa.array(["k"] * 1000)})
+
+    def peak(n):
+        tracemalloc.start()
+        out = [r for x in K._fold(0.5)(batches(n)) for r in x.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(r["template"], r["n"]) for r in out] == [(["0got", "0(", "2", "104", "0and"], 1000 * n)]
+        return most
+
+    peak(2)
+    assert peak(100) < 1.5 * peak(10)
