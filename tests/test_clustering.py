@@ -195,3 +195,18 @@ def test_a_leaf_of_many_rows_is_not_held():
 
     peak(2)
     assert peak(100) < 1.5 * peak(10)
+
+
+def test_loaded_wildcards_at_threshold_one_equal_the_model(spark, monkeypatch):
+    from decimal import Decimal
+
+    from braidlog.operators import clustering as K
+
+    def folds(threshold):
+        raise AssertionError("folded")
+
+    monkeypatch.setattr(K, "_kernel", folds)
+    loaded = [(None, Decimal(i), Decimal(2), None, None, t) for i, t in enumerate((["0a", "0b", "0b"], ["0a", "0b", "2"], ["0a", "0b", "0c"], ["2", "0b", "0c"], [], ["0c", "0c", "0c", "2"]), 1)]
+    rows = random_rows(32, 400)
+    got = cluster(spark.createDataFrame(rows, SCHEMA), 4, 1.0, spark.createDataFrame(loaded, C.SCHEMA))
+    assert as_set(got) == modelled(rows, 4, 1.0, loaded)
