@@ -210,3 +210,23 @@ def test_loaded_wildcards_at_threshold_one_equal_the_model(spark, monkeypatch):
     rows = random_rows(32, 400)
     got = cluster(spark.createDataFrame(rows, SCHEMA), 4, 1.0, spark.createDataFrame(loaded, C.SCHEMA))
     assert as_set(got) == modelled(rows, 4, 1.0, loaded)
+
+
+@pytest.mark.parametrize("name", ["report_text"])
+def test_reports_equal_sql_and_hold_no_leaf(spark, monkeypatch, name):
+    import duckdb
+
+    from braidlog.operators import clustering as K
+    from braidlog.queries import ORACLES, QUERIES
+
+    def folds(threshold):
+        raise AssertionError("folded")
+
+    monkeypatch.setattr(K, "_kernel", folds)
+    monkeypatch.setattr(K, "_fold", folds, raising=False)
+    where = "/root/testdata/sf0.001"
+    with duckdb.connect() as con:
+        con.execute("SET TimeZone = 'UTC'")
+        con.execute(f"CREATE VIEW orders AS SELECT * FROM '{where}/orders.parquet'")
+        wanted = con.execute(ORACLES[name]).fetchall()
+    assert wanted and sorted(map(repr, wanted)) == sorted(repr(tuple(r)) for r in QUERIES[name](spark, where).collect())
