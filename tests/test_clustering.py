@@ -212,7 +212,7 @@ def test_loaded_wildcards_at_threshold_one_equal_the_model(spark, monkeypatch):
     assert as_set(got) == modelled(rows, 4, 1.0, loaded)
 
 
-@pytest.mark.parametrize("name", ["report_text", "report_min_count"])
+@pytest.mark.parametrize("name", ["report_text", "report_min_count", "report_json"])
 def test_reports_equal_sql_and_hold_no_leaf(spark, monkeypatch, name):
     import duckdb
 
