@@ -230,3 +230,34 @@ def test_reports_equal_sql_and_hold_no_leaf(spark, monkeypatch, name):
         con.execute(f"CREATE VIEW orders AS SELECT * FROM '{where}/orders.parquet'")
         wanted = con.execute(ORACLES[name]).fetchall()
     assert wanted and sorted(map(repr, wanted)) == sorted(repr(tuple(r)) for r in QUERIES[name](spark, where).collect())
+
+
+def test_a_leaf_of_many_rows_over_loaded_clusters_is_not_held():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from braidlog.operators import clustering as K
+
+    def batch(slots, seq, seed):
+        none, long = pa.nulls(len(seq), pa.string()), lambda x: pa.array(x, pa.int64())
+        given = [x is not None for x in seed]
+        return pa.RecordBatch.from_pydict({"node": none, "category": none, "slots": pa.array(slots, pa.list_(pa.string())), "seq": long(seq), "last": long([K.LOADED if g else K.END for g in given]), "n": long([0 if g else 2 for g in given]), "first_seen": none, "last_seen": none, "seed": long(seed), "key": pa.array(["k"] * len(seq))})
+
+    def batches(n):
+        yield batch([["0got", "0(", "2", "104"], ["0got", "0(", "0tip", "0z"]], [K.LOADED] * 2, [7, 8])
+        for b in range(n):
+            seq = range(1000 * b, 1000 * b + 1000)
+            yield batch([["0got", "0(", f"0height={i}x", "104"] for i in seq], seq, [None] * 1000)
+
+    def peak(n):
+        tracemalloc.start()
+        out = [r for x in K._fold(0.5)(batches(n)) for r in x.to_pylist()]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # counts go to the loaded cluster that fits; the other stays as it was
+        assert [(r["seed"], r["template"], r["n"]) for r in out] == [(7, ["0got", "0(", "2", "104"], 2000 * n), (8, ["0got", "0(", "0tip", "0z"], 0)]
+        return most
+
+    peak(2)
+    assert peak(100) < 1.5 * peak(10)
